@@ -66,7 +66,7 @@ def pack(lines: DataFrame, keys: list[str], limit: int = CHUNK_LIMIT, over: bool
     ``start``: a boolean column; such a line always starts a chunk. Lines are never cut; joining
     characters do not count. The fold runs on the ordered lengths of one document.
     """
-    item = F.struct("seq", F.length("text").alias("n"), (F.col(start) if start else F.lit(False)).alias("s"), *[F.col(c) for c in lines.columns if c not in (*keys, "seq")])
+    item = F.struct("seq", F.length("text").alias("n"), (F.col(start) if start else F.lit(False)).alias("s"), *[F.col(c) for c in lines.columns if c not in (*keys, "seq", start)])
     rows = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", item.alias("it")))).alias("items"))
     if over:
         step = (

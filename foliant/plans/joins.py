@@ -1 +1,78 @@
-"""Queries."""
+"""Joins and join-like queries."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from foliant.operators import geometry as G
+from foliant.registry import query, sql_query
+from foliant.session import read_table
+
+_IN = "(VALUES (0, 'a.png'), (1, 'bad.png'), (2, 'c.png'), (3, 'd.png')) AS i(idx, path)"
+_OUT = "(VALUES ('0', true, 'A', NULL), ('1', false, NULL, 'cannot read image'), ('x', true, 'Z', NULL), ('2', true, 'C', NULL)) AS o(ridx, ok, data, error)"
+sql_query("batch_left_join", f"SELECT i.idx, i.path, coalesce(o.ok, false) AS ok, o.data, CASE WHEN o.ok IS NULL THEN '批量响应缺少该索引' ELSE o.error END AS error FROM {_IN} LEFT JOIN {_OUT} ON try_cast(o.ridx AS INT) = i.idx")
+sql_query("zip_join",
+          "SELECT c.chunk_key, c.n AS pos, c.total = p.total AS equal_length FROM (SELECT chunk_key, leaflet_key, row_number() OVER (PARTITION BY leaflet_key ORDER BY chunk_key) AS n, count(*) OVER (PARTITION BY leaflet_key) AS total FROM chunks) c JOIN (SELECT leaflet_key, image_id, row_number() OVER (PARTITION BY leaflet_key ORDER BY image_id) AS n, count(*) OVER (PARTITION BY leaflet_key) AS total FROM to_description) p ON p.leaflet_key = c.leaflet_key AND p.n = c.n")
+sql_query("batch_groups", "SELECT leaflet_key, chunk_key, CAST(floor((row_number() OVER (PARTITION BY leaflet_key ORDER BY chunk_key) - 1) / 16) AS INT) AS grp FROM chunks")
+sql_query("batch_counts", "SELECT engine, count(CASE WHEN ok THEN 1 END) AS n_ok, count(CASE WHEN NOT coalesce(ok, false) THEN 1 END) AS n_failed FROM to_description GROUP BY engine")
+
+_BL = "(VALUES (1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 0.0, 20.0, 10.0, 30.0), (1, 3, 5.0, 5.0, 5.0, 5.0), (2, 4, 0.0, 0.0, 10.0, 10.0), (1, 5, 4.0, 0.0, 14.0, 10.0)) AS b(page, seq, x0, y0, x1, y1)"
+_TB = "(VALUES (1, 0.0, 0.0, 9.0, 9.0), (1, 100.0, 0.0, 110.0, 9.0)) AS t(page, x0, y0, x1, y1)"
+_OV = "CASE WHEN (b.x1 - b.x0) * (b.y1 - b.y0) > 0 THEN greatest(0, least(b.x1, t.x1) - greatest(b.x0, t.x0)) * greatest(0, least(b.y1, t.y1) - greatest(b.y0, t.y0)) / ((b.x1 - b.x0) * (b.y1 - b.y0)) ELSE 0 END"
+
+
+@query("bbox_overlap_antijoin", f"SELECT page, seq FROM {_BL} WHERE NOT EXISTS (SELECT 1 FROM {_TB} WHERE t.page = b.page AND {_OV} > 0.5)")
+def bbox_overlap_antijoin(spark, d):
+    box = lambda t: spark.sql(f"SELECT *, named_struct('x0', double(x0), 'y0', double(y0), 'x1', double(x1), 'y1', double(y1)) AS box FROM {t}")
+    return G.outside_tables(box(_BL), box(_TB), ["page"]).select("page", "seq")
+
+
+sql_query("bbox_union", f"SELECT page, CAST(min(x0) AS DOUBLE) AS x0, CAST(min(y0) AS DOUBLE) AS y0, CAST(max(x1) AS DOUBLE) AS x1, CAST(max(y1) AS DOUBLE) AS y1 FROM {_BL} GROUP BY page")
+sql_query("reading_order", f"SELECT seq, CAST(row_number() OVER (ORDER BY page, y0, x0, seq) AS INT) AS pos FROM {_BL}")
+_FR = "(VALUES ('a', 1, 1, 3, 5), ('a', 2, 2, 3, 4), ('a', 3, 3, 2, 1), ('a', 5, 3, 2, 7), ('b', 1, 1, 4, 2), ('b', 2, 4, 4, 2)) AS t(doc_id, seq, page, cols, n_rows)"
+
+
+@query("table_merge_islands", f"""WITH s AS (SELECT *, CASE WHEN lag(cols) OVER w IS NULL OR cols <> lag(cols) OVER w OR page - lag(page) OVER w > 1 OR seq - lag(seq) OVER w > 1 THEN 1 ELSE 0 END AS st FROM {_FR} WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+ g AS (SELECT *, CAST(sum(st) OVER (PARTITION BY doc_id ORDER BY seq) AS INT) AS table_no FROM s) SELECT doc_id, table_no, min(page) AS page, max(page) AS page_end, max(cols) AS cols, CAST(sum(n_rows) AS BIGINT) AS n_rows, count(*) AS merged FROM g GROUP BY doc_id, table_no""")
+def table_merge_islands(spark, d):
+    return G.merge_islands(spark.sql(f"SELECT * FROM {_FR}"), "doc_id")
+
+
+ELEMENTS = "(VALUES ('a', 1, 'caption', '图 4 曲线', 1, 10.0D), ('a', 2, 'figure', '', 1, 20.0D), ('a', 3, 'paragraph', 'A) x', 1, 40.0D), ('a', 4, 'figure', '', 2, 5.0D), ('a', 5, 'table', '', 2, 50.0D), ('b', 1, 'figure', '', 1, 1.0D), ('b', 2, 'caption', '图 1', 1, 9.0D), ('b', 3, 'caption', '表 2', 1, 20.0D), ('b', 4, 'paragraph', 'text', 1, 30.0D), ('b', 5, 'caption', '表 3', 2, 1.0D), ('b', 6, 'table', '', 2, 9.0D)) AS e(doc_id, seq, kind, text, page, y0)"
+
+
+@query("caption_attach")
+def caption_attach(spark, d):
+    return G.attach_captions(spark.sql(f"SELECT * FROM {ELEMENTS}"), "doc_id")
+
+
+_CACHE = "(SELECT DISTINCT sha2(text, 256) AS h, 'v1' AS version FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL UNION ALL SELECT DISTINCT sha2(text, 256), 'v0' FROM documents WHERE doc_id % 3 = 1 AND text IS NOT NULL)"
+sql_query("cache_split", f"SELECT d.doc_id, c.h IS NOT NULL AS hit FROM documents d LEFT JOIN {_CACHE} c ON c.h = sha2(d.text, 256) AND c.version = 'v1'",
+          f"SELECT d.doc_id, c.h IS NOT NULL AS hit FROM documents d LEFT JOIN {_CACHE} c ON c.h = sha256(d.text) AND c.version = 'v1'".replace("sha2(text, 256)", "sha256(text)"))
+sql_query("cache_ttl_lru", """WITH e AS (SELECT user_id, max(ts) AS last_access, max(CASE WHEN value < 5 THEN TIMESTAMP '9999-01-01' ELSE ts + INTERVAL 7 DAY END) AS expire_at, max_by(event_id, ts) AS v FROM events WHERE value IS NOT NULL GROUP BY user_id),
+ r AS (SELECT *, row_number() OVER (ORDER BY last_access DESC, user_id) AS rn FROM e WHERE expire_at >= TIMESTAMP '2024-01-20') SELECT user_id, last_access FROM r WHERE rn <= 10000""")
+sql_query("result_key", "SELECT leaflet_key, concat(pdf_hash, ':', left(sha2(concat_ws('|', route, '600', file), 256), 32)) AS ident FROM leaflets",
+          "SELECT leaflet_key, pdf_hash || ':' || left(sha256(concat_ws('|', route, '600', file)), 32) AS ident FROM leaflets")
+sql_query("newest_parse", "SELECT meta.doc_id AS doc_id, max_by(leaflet_key, parsed_at) AS newest FROM leaflets WHERE parsed_at IS NOT NULL GROUP BY meta.doc_id HAVING count(*) = count(DISTINCT parsed_at)")
+sql_query("newest_output", "SELECT stem, path FROM (SELECT stem, path, row_number() OVER (PARTITION BY stem ORDER BY CASE WHEN contains(path, stem) THEN 1 ELSE 0 END DESC, mtime DESC, path) AS rn FROM (VALUES ('a', 'out/a_content_list.json', 5), ('a', 'out/x_content_list.json', 9), ('a', 'old/a_content_list.json', 3), ('b', 'q/z_content_list.json', 1)) AS t(stem, path, mtime)) AS r WHERE rn = 1")
+_ML = "(VALUES ('d', 1, 'text', 1, 'Head', NULL, 0), ('d', 2, 'text', 0, 'para', NULL, 0), ('d', 3, 'table', 0, '<table><tr><td>1</td></tr><tr></tr></table>', 'Tab 1', 1), ('d', 4, 'image', 0, 'img/1.png', NULL, 1), ('d', 5, 'equation', 0, 'x', NULL, 2), ('d', 6, 'text', 1, 'Head', NULL, 2)) AS m(doc, seq, type, level, body, caption, page_idx)"
+sql_query("mineru_items",
+          f"SELECT doc, seq, CASE type WHEN 'text' THEN CASE WHEN level > 0 THEN 'heading' ELSE 'paragraph' END WHEN 'table' THEN 'table' WHEN 'image' THEN 'figure' END AS kind, body, nullif(coalesce(caption, ''), '') AS caption, CASE WHEN type = 'table' THEN CAST((length(body) - length(replace(body, '<tr>', ''))) / 4 AS INT) END AS n_rows FROM {_ML} WHERE type IN ('text', 'table', 'image')")
+sql_query("mineru_images", f"SELECT seq, CASE WHEN body = 'img/1.png' THEN replace(body, 'img/', 'figures/') ELSE body END AS path FROM {_ML} WHERE type = 'image'")
+sql_query("mineru_sections", f"SELECT section, min(seq) AS first_seq, count(*) AS n_items, max(page_idx) + 1 AS page_end FROM (SELECT seq, page_idx, coalesce(last_value(CASE WHEN type = 'text' AND level > 0 THEN body END) IGNORE NULLS OVER (PARTITION BY doc ORDER BY seq ROWS UNBOUNDED PRECEDING), '文档头') AS section FROM {_ML} WHERE type <> 'equation') AS x GROUP BY section",
+          f"SELECT section, min(seq) AS first_seq, count(*) AS n_items, max(page_idx) + 1 AS page_end FROM (SELECT seq, page_idx, coalesce(last_value(CASE WHEN type = 'text' AND level > 0 THEN body END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY seq ROWS UNBOUNDED PRECEDING), '文档头') AS section FROM {_ML} WHERE type <> 'equation') AS x GROUP BY section")
+
+
+@query("mineru_pack", """WITH RECURSIVE p AS (SELECT leaflet_key, chunk_key, length(coalesce(content, '')) AS n, coalesce(type <> 'text', true) AS s, row_number() OVER (PARTITION BY leaflet_key ORDER BY chunk_key) AS rn FROM chunks),
+ r AS (SELECT leaflet_key, chunk_key, rn, n AS len, 0 AS chunk_no FROM p WHERE rn = 1
+ UNION ALL SELECT p.leaflet_key, p.chunk_key, p.rn, CASE WHEN (r.len + p.n > 2000 OR p.s) AND r.len > 0 THEN p.n ELSE r.len + p.n END, CASE WHEN (r.len + p.n > 2000 OR p.s) AND r.len > 0 THEN r.chunk_no + 1 ELSE r.chunk_no END FROM r JOIN p ON p.leaflet_key = r.leaflet_key AND p.rn = r.rn + 1)
+ SELECT leaflet_key, chunk_key, chunk_no FROM r""")
+def mineru_pack(spark, d):
+    """Chunks of a leaflet packed again into larger ones; tables and figures start a chunk."""
+    from foliant.operators.layout import pack
+
+    x = read_table(spark, d, "chunks").select("leaflet_key", F.col("chunk_key").alias("seq"), F.coalesce("content", F.lit("")).alias("text"), F.coalesce(F.col("type") != "text", F.lit(True)).alias("s"))
+    return pack(x, ["leaflet_key"], limit=2000, start="s").select("leaflet_key", F.col("seq").alias("chunk_key"), "chunk_no")
+
+
+sql_query("union_all", "SELECT chunk_key AS id, 'chunk' AS src FROM chunks UNION ALL SELECT image_id, 'page' FROM to_description UNION ALL SELECT vec_id, 'vector' FROM embed_response")
+sql_query("page_elements", "SELECT leaflet_key, page_start AS page, count(*) AS n, min(chunk_key) AS first_chunk FROM chunks GROUP BY leaflet_key, page_start")
