@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "foliant", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "foliant", master: str | None = None, shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
     """A session with UTC, AQE and Arrow on. Master and shuffle width are left to spark-submit when not given."""
     b = (
         SparkSession.builder.appName(app)
@@ -20,6 +20,8 @@ def build_session(app: str = "foliant", master: str | None = None, shuffle_parti
     )
     if master:
         b = b.master(master)
+    if driver_memory:
+        b = b.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
