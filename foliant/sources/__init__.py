@@ -20,8 +20,13 @@ def newest_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 
 def read_env(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of KEY=value lines; comments and lines without = are skipped, quotes are stripped."""
-    line = spark.read.text(path).filter(F.col("value").contains("=") & ~F.trim("value").startswith("#"))
+    """(key, value) of KEY=value lines; comments and lines without = are skipped, quotes are stripped.
+
+    A settings file belongs to the driver and its name is often hidden, which file sources skip.
+    """
+    with open(path, encoding="utf-8") as f:
+        lines = spark.createDataFrame([(x.rstrip("\n"),) for x in f], "value string")
+    line = lines.filter(F.col("value").contains("=") & ~F.trim("value").startswith("#"))
     kv = F.split("value", "=", 2)
     return line.select(F.trim(kv[0]).alias("key"), F.regexp_replace(F.trim(kv[1]), "^[\"']|[\"']$", "").alias("value"))
 
