@@ -17,8 +17,8 @@ VOCAB = tokens.DEFAULT_VOCAB
 def reader():
     base = "the dose should be halved because the mean half-life of patients remained unchanged and palpitations were reported".split()
     words = {w: 500 for w in base} | {"120": 300, "12": 300}
-    text = "患者应口服本品，患者血压应复查。" * 3
-    a, _ = scans._codes([text] * 1)
+    text = "患者应口服本品，患者血压应复查。"
+    a, _ = scans._codes(["", text, ""])
     t, _ = scans._triples(a)
     u, n = np.unique(t, return_counts=True)
     return scans.Reader(words, u, n * 200, {"tablets"})
