@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.session import read_table
+
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pre-tokenizer pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -220,9 +222,9 @@ def encode_corpus(
 
 
 def p6_ids(spark, sf_dir: str, vocab: str = DEFAULT_VOCAB) -> DataFrame:
-    return encode_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocab=vocab)
+    return encode_corpus(read_table(spark, sf_dir, "documents"), vocab=vocab)
 
 
 def p6_token_counts(spark, sf_dir: str, vocab: str = DEFAULT_VOCAB) -> DataFrame:
     """Tokens of each document, without moving the ids."""
-    return encode_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocab=vocab, count_only=True)
+    return encode_corpus(read_table(spark, sf_dir, "documents"), vocab=vocab, count_only=True)
