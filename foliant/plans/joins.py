@@ -76,3 +76,17 @@ def mineru_pack(spark, d):
 
 sql_query("union_all", "SELECT chunk_key AS id, 'chunk' AS src FROM chunks UNION ALL SELECT image_id, 'page' FROM to_description UNION ALL SELECT vec_id, 'vector' FROM embed_response")
 sql_query("page_elements", "SELECT leaflet_key, page_start AS page, count(*) AS n, min(chunk_key) AS first_chunk FROM chunks GROUP BY leaflet_key, page_start")
+
+FRAGMENTS = "(VALUES ('a', 1, 'caption', 1, 1, CAST(NULL AS ARRAY<ARRAY<STRING>>)), ('a', 2, 'table', 1, 1, array(array('h1', 'h2'), array('1', '2'))), ('a', 3, 'table', 2, 2, array(array('h1', 'h2', 'h3', 'h4', 'h5'))), ('a', 4, 'table', 3, 3, array(array('h1', 'h2'), array('3', '4'))), ('b', 1, 'table', 1, 1, array(array('x'), array('y'))), ('b', 2, 'table', 2, 2, array(array('x'))), ('b', 3, 'paragraph', 2, 2, NULL), ('b', 4, 'table', 2, 2, array(array('x')))) AS f(doc_id, seq, kind, page, page_end, rows)"
+
+
+@query("table_fragments", "SELECT * FROM (VALUES ('a', 0, 'caption', 1, 1, 0, 1), ('a', 1, 'table', 1, 3, 4, 3), ('b', 0, 'table', 1, 2, 2, 1), ('b', 1, 'paragraph', 2, 2, 0, 1), ('b', 2, 'table', 2, 2, 1, 1)) AS t(doc_id, pos, kind, page, page_end, n_rows, merged)")
+def table_fragments(spark, d):
+    from foliant.operators.fragments import merge_tables
+
+    return merge_tables(spark.sql(f"SELECT * FROM {FRAGMENTS}"), "doc_id")
+
+
+sql_query("bold_lines", "SELECT id, exists(spans, s -> s.flags & 16 <> 0 OR contains(s.font, 'Bold')) AS bold FROM (VALUES (1, array(named_struct('flags', 16, 'font', 'A'))), (2, array(named_struct('flags', 4, 'font', 'A'), named_struct('flags', 0, 'font', 'X-Bold'))), (3, array(named_struct('flags', 4, 'font', 'A')))) AS t(id, spans)",
+          "SELECT id, bold FROM (VALUES (1, true), (2, true), (3, false)) AS t(id, bold)")
+sql_query("clean_description", "SELECT image_id, nullif(trim(ocr_text), '') AS ocr_text, nullif(trim(vlm_description), '') AS vlm_description FROM to_description")

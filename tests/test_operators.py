@@ -136,3 +136,23 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.write_tables(spark.createDataFrame([("table-01", "cap", "| a |")], "id string, caption string, md string"), str(tmp_path / "tab"))
     with pytest.raises(FileNotFoundError):
         sinks.read_vectors(spark, str(tmp_path / "none"))
+
+
+def test_registry(spark):
+    from foliant.operators.tools import Registry, Tool, attempts_allowed, reflect_loop, resolve_engine
+
+    def divide(a, b):
+        return a / b
+
+    reg = Registry([Tool("divide", divide, {"a": "number", "b": "number"}, ("a", "b")), Tool("charge", lambda: 1, idempotent=False)])
+    calls = spark.createDataFrame([(1, "divide", '{"a": 6, "b": 3}'), (2, "divide", '{"a": 6'), (3, "nosuch", "{}"), (4, "divide", '{"a": "x", "b": 1}'), (5, "divide", '{"a": 1, "b": 0}'), (6, "charge", "{}"), (7, "divide", None)], "id int, name string, args string")
+    got = {r.id: (r.code, r.result) for r in reg.calls(calls, "id", "name", "args").collect()}
+    assert got == {1: (None, "2.0"), 2: ("INVALID_JSON", None), 3: ("UNKNOWN_TOOL", None), 4: ("VALIDATION_ERROR", None), 5: ("EXECUTION_ERROR", None), 6: ("BLOCKED_WRITE", None), 7: ("INVALID_JSON", None)}
+    assert reg.catalogue(spark).count() == 2
+    assert attempts_allowed(["SAFE"] * 9, True) == (3, False, 3.0) and attempts_allowed(["SAFE"] * 9, False) == (4, False, 7.0)
+    assert attempts_allowed(["UNKNOWN"], False) == (1, True, 0.0) and attempts_allowed(["NO"], True) == (1, False, 0.0) and attempts_allowed(["SAFE", None], True) == (2, False, 1.0)
+    log = reflect_loop("t", lambda t, f: f + "x", lambda t, a: (len(a) >= 3, a + "!"))
+    assert [x[2] for x in log] == [False, True]
+    assert resolve_engine("mineru", {"mineru": False, "pymupdf": True}, "pymupdf") == "pymupdf"
+    with pytest.raises(LookupError):
+        resolve_engine("mineru", {})
