@@ -160,10 +160,13 @@ def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     into the join, and the members of a spelling are expanded after the spellings have been paired.
     """
     keys = cut(form_keys(df, key, text))  # 40 bytes a row; the texts are read and written plainly once
-    mixed = keys.groupBy("form", "raw").agg(F.count("*").alias("n")).groupBy("form").agg(F.count("*").alias("spellings")).filter("spellings > 1")
-    some = keys.join(mixed.select("form"), "form", "left_semi")
-    a, b = some.select("form", F.col("raw").alias("ra"), F.col("key").alias("key_a")), some.select("form", F.col("raw").alias("rb"), F.col("key").alias("key_b"))
-    return a.join(b, "form").filter("key_a < key_b AND ra <> rb").select("key_a", "key_b")
+    spellings = keys.groupBy("form", "raw").agg(F.count("*").alias("n"))
+    mixed = spellings.groupBy("form").agg(F.count("*").alias("s")).filter("s > 1").select("form")
+    some = spellings.join(mixed, "form", "left_semi").select("form", "raw")
+    pairs = some.select("form", F.col("raw").alias("ra")).join(some.select("form", F.col("raw").alias("rb")), "form").filter("ra < rb").select("ra", "rb")
+    one = pairs.join(keys.select(F.col("raw").alias("ra"), F.col("key").alias("ka")), "ra")
+    both = one.join(keys.select(F.col("raw").alias("rb"), F.col("key").alias("kb")), "rb")
+    return both.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:
