@@ -36,6 +36,7 @@ BLOCK_ROWS = 65_536
 SAMPLE_ROWS = 65_536
 EPSILON = 2.1  # of the hypothesis test
 MAX_LISTS = 16_384
+ALL = b"*"  # instead of list numbers: every list of the block
 
 
 def _matrix(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,20 +218,24 @@ def nearest(
             full, near = [], []
             for a in range(0, len(x), 4096):
                 sim = x[a : a + 4096] @ cents.T
+                full.append(sim.argmax(1))
+                if probes is None:
+                    continue
                 p = np.argpartition(-sim, min(probe_n, sim.shape[1] - 1), axis=1)[:, :probe_n] if probe_n < sim.shape[1] else np.tile(np.arange(sim.shape[1]), (len(sim), 1))
                 near.append(np.take_along_axis(p, np.argsort(-np.take_along_axis(sim, p, 1), axis=1, kind="stable"), 1).astype(np.int32))
-                full.append(sim.argmax(1))
-            near, home = np.concatenate(near), np.concatenate(full)
+            home = np.concatenate(full)
+            near = np.concatenate(near) if probes is not None else None
             rows: list[tuple] = []
             half = x.astype(np.float16)
-            nb = block_of[near]
+            nb = block_of[near] if near is not None else None
+            every = np.unique(block_of)
             for r in np.flatnonzero(fresh):
                 own, ask = int(block_of[home[r]]), bool(asked[r])
-                rows.append((own, int(digest[r]), int(home[r]), near[r][nb[r] == own].tobytes() if ask else b"", x[r].tobytes()))
+                rows.append((own, int(digest[r]), int(home[r]), (ALL if nb is None else near[r][nb[r] == own].tobytes()) if ask else b"", x[r].tobytes()))
                 if ask:
-                    for o in np.unique(nb[r]):
+                    for o in every if nb is None else np.unique(nb[r]):
                         if o != own:
-                            rows.append((int(o), int(digest[r]), -1, near[r][nb[r] == o].tobytes(), half[r].tobytes()))
+                            rows.append((int(o), int(digest[r]), -1, ALL if nb is None else near[r][nb[r] == o].tobytes(), half[r].tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
@@ -250,14 +255,15 @@ def nearest(
         at = at[np.unique(digest[at], return_index=True)[1]]
         at = at[np.argsort(home[at], kind="stable")]
         base = np.frombuffer(b"".join(vec[i] for i in at), np.float32).reshape(-1, dim)
-        n_lists = int(max(home.max(initial=0), max((int(np.frombuffer(p, np.int32).max()) for p in probe if p), default=0))) + 1
+        n_lists = int(max(home.max(initial=0), max((int(np.frombuffer(p, np.int32).max()) for p in probe if p and p != ALL), default=0))) + 1
         start = np.searchsorted(home[at], np.arange(n_lists + 1))
         ask = np.array([i for i, p in enumerate(probe) if p], int)
         ask = ask[np.unique(digest[ask], return_index=True)[1]] if len(ask) else ask
         if not len(ask) or not len(at):
             return pa.table({"q": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "s": pa.array([], pa.float32())})
         query = np.stack([np.frombuffer(vec[i], np.float32 if len(vec[i]) == 4 * dim else np.float16).astype(np.float32) for i in ask])
-        lists_of = [np.frombuffer(probe[i], np.int32) for i in ask]
+        held = np.unique(home[at])
+        lists_of = [held if probe[i] == ALL else np.frombuffer(probe[i], np.int32) for i in ask]
         pair_q = np.repeat(np.arange(len(ask)), [len(p) for p in lists_of])
         q, b, s = scan_lists(base, start, query, pair_q, np.concatenate(lists_of), k, min_sim)
         qd, bd = digest[ask][q], digest[at][b]
@@ -266,7 +272,14 @@ def nearest(
 
     placed = src.select("vec_id", "v", is_query.alias("asked")) if query_filter is None else src.select("vec_id", "v", F.coalesce(F.expr(query_filter.replace(key, "vec_id")), F.lit(False)).alias("asked"))
     routed = placed.mapInArrow(place, "block int, digest long, home int, probe binary, vec binary")
-    found = routed.groupBy("block").applyInArrow(search, "q long, b long, s float")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition holds one block."""
+        got = list(batches)
+        if got:
+            yield from search(pa.Table.from_batches(got)).to_batches()
+
+    found = routed.repartitionById(blocks, "block").mapInArrow(task, "q long, b long, s float")
     top = found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "b"))).filter(F.col("r") <= k).drop("r")
     members = cut(usable.select("vec_id", "v").mapInArrow(digests, "digest long, vec_id long"))
     return _with_copies(members, top, k, query_filter.replace(key, "vec_id") if query_filter else None)
