@@ -54,11 +54,31 @@ def breaker(log: DataFrame, key: str, ts: str, seq: str, failed: str, threshold:
     return x.groupBy("key_").applyInPandas(run, f"{key} {dict(log.dtypes)[key]}, seq long, state string, admitted boolean")
 
 
+def number_sessions(requests: DataFrame, keys: list[str], arrival: str, order: str, grace: int, width: int = 60_000) -> DataFrame:
+    """Adds session, from 1 per key: a new one starts where an arrival is more than ``grace`` behind the one before.
+
+    A few keys may hold most rows, so windows run per key and time bucket of ``width``; what crosses a bucket's edge (the
+    last arrival before it, the sessions so far) comes from one row per bucket.
+    """
+    r = requests.withColumn("bucket_", F.floor(F.col(arrival) / width))
+    w = W.partitionBy(*keys, "bucket_").orderBy(arrival, order)
+    over = W.partitionBy(*keys).orderBy("bucket_")
+    edge = r.groupBy(*keys, "bucket_").agg(F.max(arrival).alias("top_")).withColumn("before_", F.lag("top_").over(over)).drop("top_")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*keys, "bucket_")]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    x = r.alias("l").join(edge.alias("r"), on, "left").select("l.*", "r.before_")
+    prev = F.coalesce(F.lag(arrival).over(w), F.col("before_"))
+    x = x.withColumn("start_", (prev.isNull() | (F.col(arrival) - prev > grace)).cast("int")).withColumn("in_", F.sum("start_").over(w))
+    sums = x.groupBy(*keys, "bucket_").agg(F.sum("start_").alias("n_")).withColumn("so_far_", F.coalesce(F.sum("n_").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n_")
+    y = x.alias("l").join(sums.alias("r"), on, "left").select("l.*", "r.so_far_")
+    return y.withColumn("session", (F.col("so_far_") + F.col("in_")).cast("int")).drop("bucket_", "before_", "start_", "in_", "so_far_")
+
+
 def gap_batches(requests: DataFrame, keys: list[str], arrival: str, size: str, order: str, grace: int) -> DataFrame:
     """Requests of the same options whose arrivals follow each other within ``grace`` form one batch."""
-    w = W.partitionBy(*keys).orderBy(arrival, order)
-    start = (F.col(arrival) - F.lag(arrival).over(w) > grace) | F.lag(arrival).over(w).isNull()
-    r = requests.withColumn("batch_no", F.sum(start.cast("int")).over(w).cast("int"))
+    r = number_sessions(requests, keys, arrival, order, grace).withColumnRenamed("session", "batch_no")
     return r.groupBy(*keys, "batch_no").agg(F.count("*").alias("n_requests"), F.sum(size).cast("long").alias("n_texts"), F.min(arrival).alias("first_ms"), F.max(arrival).alias("last_ms"))
 
 
@@ -67,9 +87,7 @@ def capped_batches(requests: DataFrame, keys: list[str], arrival: str, size: str
 
     A session of the gap rule is independent of all others, so the fold runs per session, not per key.
     """
-    w = W.partitionBy(*keys).orderBy(arrival, order)
-    start = (F.col(arrival) - F.lag(arrival).over(w) > grace) | F.lag(arrival).over(w).isNull()
-    r = requests.withColumn("session", F.sum(start.cast("int")).over(w).cast("int"))
+    r = number_sessions(requests, keys, arrival, order, grace)
     item = F.struct(F.col(arrival).alias("a"), F.col(order).alias("o"), F.col(size).cast("long").alias("n"))
     g = r.groupBy(*keys, "session").agg(F.array_sort(F.collect_list(item)).alias("items"))
     step = (

@@ -48,8 +48,8 @@ def caption_attach(spark, d):
 _CACHE = "(SELECT DISTINCT sha2(text, 256) AS h, 'v1' AS version FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL UNION ALL SELECT DISTINCT sha2(text, 256), 'v0' FROM documents WHERE doc_id % 3 = 1 AND text IS NOT NULL)"
 sql_query("cache_split", f"SELECT d.doc_id, c.h IS NOT NULL AS hit FROM documents d LEFT JOIN {_CACHE} c ON c.h = sha2(d.text, 256) AND c.version = 'v1'",
           f"SELECT d.doc_id, c.h IS NOT NULL AS hit FROM documents d LEFT JOIN {_CACHE} c ON c.h = sha256(d.text) AND c.version = 'v1'".replace("sha2(text, 256)", "sha256(text)"))
-sql_query("cache_ttl_lru", """WITH e AS (SELECT user_id, max(ts) AS last_access, max(CASE WHEN value < 5 THEN TIMESTAMP '9999-01-01' ELSE ts + INTERVAL 7 DAY END) AS expire_at, max_by(event_id, ts) AS v FROM events WHERE value IS NOT NULL GROUP BY user_id),
- r AS (SELECT *, row_number() OVER (ORDER BY last_access DESC, user_id) AS rn FROM e WHERE expire_at >= TIMESTAMP '2024-01-20') SELECT user_id, last_access FROM r WHERE rn <= 10000""")
+sql_query("cache_ttl_lru", """WITH e AS (SELECT user_id, max(ts) AS last_access, max(CASE WHEN value < 5 THEN TIMESTAMP '9999-01-01' ELSE ts + INTERVAL 7 DAY END) AS expire_at, max_by(event_id, ts) AS v FROM events WHERE value IS NOT NULL GROUP BY user_id)
+ SELECT user_id, last_access FROM e WHERE expire_at >= TIMESTAMP '2024-01-20' ORDER BY last_access DESC, user_id LIMIT 10000""")
 sql_query("result_key", "SELECT leaflet_key, concat(pdf_hash, ':', left(sha2(concat_ws('|', route, '600', file), 256), 32)) AS ident FROM leaflets",
           "SELECT leaflet_key, pdf_hash || ':' || left(sha256(concat_ws('|', route, '600', file)), 32) AS ident FROM leaflets")
 sql_query("newest_parse", "SELECT meta.doc_id AS doc_id, max_by(leaflet_key, parsed_at) AS newest FROM leaflets WHERE parsed_at IS NOT NULL GROUP BY meta.doc_id HAVING count(*) = count(DISTINCT parsed_at)")

@@ -78,7 +78,8 @@ def step_context(spark, d):
     return _turns(spark, d).filter("role = 'assistant'").withColumn("c", F.collect_list(x).over(w)).select("doc_id", "turn", F.array_join("c", " | ").alias("context"))
 
 
-@query("token_concat", "SELECT doc_type, lang, count(*) AS n, string_agg(left(text, 1), '' ORDER BY doc_id) AS stream FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY doc_type, lang")
+@query("token_concat", "SELECT leaflet_key, count(*) AS n, string_agg(left(content, 1), '' ORDER BY chunk_key) AS stream FROM chunks WHERE content IS NOT NULL AND content <> '' GROUP BY leaflet_key")
 def token_concat(spark, d):
-    x = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 1).alias("c")))), lambda y: y["c"]), "")
-    return read_table(spark, d, "documents").filter("text IS NOT NULL AND text <> ''").groupBy("doc_type", "lang").agg(F.count("*").alias("n"), x.alias("stream"))
+    """Parts of a stream in order; a stream is as long as its leaflet."""
+    x = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_key", F.substring("content", 1, 1).alias("c")))), lambda y: y["c"]), "")
+    return read_table(spark, d, "chunks").filter("content IS NOT NULL AND content <> ''").groupBy("leaflet_key").agg(F.count("*").alias("n"), x.alias("stream"))
