@@ -34,8 +34,9 @@ def idf(df: DataFrame, n_docs: int) -> DataFrame:
 def normalised(tf: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     """(key, term, w): (1 + ln tf) idf, brought to unit length; a zero vector has no rows."""
     raw = tf.join(weights.select("term", "idf"), "term").select(key, "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("x"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")).filter("norm > 0")
-    return raw.join(norm, key).select(key, "term", (F.col("x") / F.col("norm")).alias("w"))
+    # one shuffle by key: the norm is a window over the rows of the key, not a second aggregate joined back
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)))
+    return raw.withColumn("norm", norm).filter("norm > 0").select(key, "term", (F.col("x") / F.col("norm")).alias("w"))
 
 
 def sparse_top(queries: DataFrame, docs: DataFrame, qkey: str, qtext: str, dkey: str, fields: dict[str, int], k: int = 8, least: float = 0.05) -> DataFrame:
