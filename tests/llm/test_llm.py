@@ -259,6 +259,7 @@ def test_registered(spark):
     from foliant.llm.queries import oracle_sql, queries
     from tests.harness import difference
 
-    assert difference(spark, "p3_found", queries()["p3_found"], oracle_sql()["p3_found"]) is None
+    for name, sql in oracle_sql().items():
+        assert difference(spark, name, queries()[name], sql) is None, name
     for name in ("p3_pieces", "p4_groups", "p5_forms", "p6_token_counts", "p7_containers", "p2_neighbors"):
         assert queries()[name](spark, SF).count() > 0
