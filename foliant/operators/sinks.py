@@ -11,8 +11,8 @@ from foliant.functions.text import html_escape, page_range
 
 
 def layout_json(chunks: DataFrame, key: str) -> DataFrame:
-    """(key, json): chunks of a document as one JSON array in order; nulls are left out."""
-    cols = ["id", "type", "section", "page_start", "page_end"]
+    """(key, json): whole chunks of a document, each with its meta, as one JSON array in order; nulls are left out."""
+    cols = ["id", "type", "section", "sub_section", "caption", "content", "page_start", "page_end", "char_len", "meta"]
     return chunks.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*cols)))).alias("json"))
 
 
