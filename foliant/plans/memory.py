@@ -81,5 +81,5 @@ def step_context(spark, d):
 @query("token_concat", "SELECT leaflet_key, count(*) AS n, string_agg(left(content, 1), '' ORDER BY chunk_key) AS stream FROM chunks WHERE content IS NOT NULL AND content <> '' GROUP BY leaflet_key")
 def token_concat(spark, d):
     """Parts of a stream in order; a stream is as long as its leaflet."""
-    x = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_key", F.substring("content", 1, 1).alias("c")))), lambda y: y["c"]), "")
+    x = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_key", F.col("content").alias("c")))), lambda y: y["c"]), "")
     return read_table(spark, d, "chunks").filter("content IS NOT NULL AND content <> ''").groupBy("leaflet_key").agg(F.count("*").alias("n"), x.alias("stream"))

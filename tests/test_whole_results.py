@@ -23,3 +23,12 @@ def test_layout_json_has_whole_chunks(spark):
     got = {r.leaflet_key: json.loads(r.json) for r in Q["layout_json"](spark, SF).collect()}
     assert {k: by(v) for k, v in got.items()} == {k: by(v) for k, v in want.items()}
     assert all([c["id"] for c in v] == sorted(c["id"] for c in v) for v in got.values())
+
+
+def test_token_concat_has_whole_parts(spark):
+    want = defaultdict(list)
+    for r in pq.read_table(f"{SF}/chunks.parquet", columns=["leaflet_key", "chunk_key", "content"]).to_pylist():
+        if r["content"]:
+            want[r["leaflet_key"]].append((r["chunk_key"], r["content"]))
+    got = {r.leaflet_key: (r.n, r.stream) for r in Q["token_concat"](spark, SF).collect()}
+    assert got == {k: (len(v), "".join(c for _, c in sorted(v))) for k, v in want.items()}
