@@ -74,7 +74,7 @@ def turn_cap(spark, d):
 def step_context(spark, d):
     """Each step sees all results before it."""
     w = W.partitionBy("doc_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
-    x = F.concat(F.lit("step_"), F.col("turn"), F.lit(": "), F.substring("content", 1, 30))
+    x = F.concat(F.lit("step_"), F.col("turn"), F.lit(": "), F.col("content"))
     return _turns(spark, d).filter("role = 'assistant'").withColumn("c", F.collect_list(x).over(w)).select("doc_id", "turn", F.array_join("c", " | ").alias("context"))
 
 

@@ -32,3 +32,12 @@ def test_token_concat_has_whole_parts(spark):
             want[r["leaflet_key"]].append((r["chunk_key"], r["content"]))
     got = {r.leaflet_key: (r.n, r.stream) for r in Q["token_concat"](spark, SF).collect()}
     assert got == {k: (len(v), "".join(c for _, c in sorted(v))) for k, v in want.items()}
+
+
+def test_step_context_has_whole_results(spark):
+    steps = defaultdict(list)
+    for r in Q["chat_turns"](spark, SF).filter("role = 'assistant'").orderBy("doc_id", "turn").collect():
+        steps[r.doc_id].append((r.turn, r.content))
+    got = {(r.doc_id, r.turn): r.context for r in Q["step_context"](spark, SF).collect()}
+    want = {(k, t): " | ".join(f"step_{u}: {c}" for u, c in v[:i]) for k, v in steps.items() for i, (t, _) in enumerate(v)}
+    assert got == want and any(len(c) > 30 for v in steps.values() for _, c in v[:-1])
