@@ -52,6 +52,17 @@ def test_trie_is_complete():
     assert {w for w, _, _ in t.within("burn", 1)} == {"bum"}
 
 
+def test_copies_of_a_misread_text_count_once(spark):
+    right = [f"the dose should be halved in group {chr(97 + i // 26)}{chr(97 + i % 26)}， 患者血压应复查并且应口服本品{chr(0x4E00 + i)}。" for i in range(300)]
+    wrong = ["remain in bed, the d0se shou1d be halved", "本组患者血压庆复查并且应口服本品。"]
+    copies = [(w,) for w in wrong for _ in range(150)]
+    df = spark.createDataFrame([(t,) for t in right] + copies, "t string")
+    shared = spark.sparkContext.broadcast((*scans.corpus_counts(df, "t"), set()))
+    looked = spark.createDataFrame([("chunks", i, w) for i, w in enumerate(wrong)], "src string, row_key long, text string")
+    assert {(r.row_key, r.noise) for r in scans.find_noise(looked, shared).collect()} == {(0, "char"), (1, "char")}
+    assert [r.repaired for r in scans.repair(looked, shared).orderBy("row_key").collect()] == ["remain in bed, the dose should be halved", "本组患者血压应复查并且应口服本品。"]
+
+
 def test_scan_tables(spark):
     found = scans.p1_found(spark, SF)
     assert found.columns == ["src", "row_key", "line_no", "noise"]
