@@ -52,7 +52,15 @@ sql_query("cache_ttl_lru", """WITH e AS (SELECT user_id, max(ts) AS last_access,
  SELECT user_id, last_access FROM e WHERE expire_at >= TIMESTAMP '2024-01-20' ORDER BY last_access DESC, user_id LIMIT 10000""")
 sql_query("result_key", "SELECT leaflet_key, concat(pdf_hash, ':', left(sha2(concat_ws('|', route, '600', file), 256), 32)) AS ident FROM leaflets",
           "SELECT leaflet_key, pdf_hash || ':' || left(sha256(concat_ws('|', route, '600', file)), 32) AS ident FROM leaflets")
-sql_query("newest_parse", "SELECT meta.doc_id AS doc_id, max_by(leaflet_key, parsed_at) AS newest FROM leaflets WHERE parsed_at IS NOT NULL GROUP BY meta.doc_id HAVING count(*) = count(DISTINCT parsed_at)")
+
+
+@query("newest_parse", "SELECT meta.doc_id AS doc_id, max_by(leaflet_key, parsed_at) AS newest FROM leaflets WHERE parsed_at IS NOT NULL GROUP BY meta.doc_id HAVING count(*) = count(DISTINCT parsed_at)")
+def newest_parse(spark, d):
+    """The newest parse of every document; of those at the same second the one with the largest key. The SQL leaves out documents with such ties."""
+    x = read_table(spark, d, "leaflets").filter("parsed_at IS NOT NULL")
+    return x.groupBy(F.col("meta.doc_id").alias("doc_id")).agg(F.max_by("leaflet_key", F.struct("parsed_at", "leaflet_key")).alias("newest"))
+
+
 sql_query("newest_output", "SELECT stem, path FROM (SELECT stem, path, row_number() OVER (PARTITION BY stem ORDER BY CASE WHEN contains(path, stem) THEN 1 ELSE 0 END DESC, mtime DESC, path) AS rn FROM (VALUES ('a', 'out/a_content_list.json', 5), ('a', 'out/x_content_list.json', 9), ('a', 'old/a_content_list.json', 3), ('b', 'q/z_content_list.json', 1)) AS t(stem, path, mtime)) AS r WHERE rn = 1")
 _ML = "(VALUES ('d', 1, 'text', 1, 'Head', NULL, 0), ('d', 2, 'text', 0, 'para', NULL, 0), ('d', 3, 'table', 0, '<table><tr><td>1</td></tr><tr></tr></table>', 'Tab 1', 1), ('d', 4, 'image', 0, 'img/1.png', NULL, 1), ('d', 5, 'equation', 0, 'x', NULL, 2), ('d', 6, 'text', 1, 'Head', NULL, 2)) AS m(doc, seq, type, level, body, caption, page_idx)"
 sql_query("mineru_items",

@@ -41,3 +41,10 @@ def test_step_context_has_whole_results(spark):
     got = {(r.doc_id, r.turn): r.context for r in Q["step_context"](spark, SF).collect()}
     want = {(k, t): " | ".join(f"step_{u}: {c}" for u, c in v[:i]) for k, v in steps.items() for i, (t, _) in enumerate(v)}
     assert got == want and any(len(c) > 30 for v in steps.values() for _, c in v[:-1])
+
+
+def test_newest_parse_keeps_documents_with_ties(spark, tmp_path):
+    rows = [("a", 1, 10), ("a", 2, 10), ("a", 3, 20), ("b", 7, 30), ("b", 6, 30), ("c", 9, 5), ("c", 9, 5), ("d", 4, None), ("d", 5, 1)]
+    df = spark.createDataFrame(rows, "doc_id string, leaflet_key long, s long").selectExpr("leaflet_key", "named_struct('doc_id', doc_id) AS meta", "timestamp_seconds(s) AS parsed_at")
+    df.write.parquet(str(tmp_path / "leaflets.parquet"))
+    assert {r.doc_id: r.newest for r in Q["newest_parse"](spark, str(tmp_path)).collect()} == {"a": 3, "b": 7, "c": 9, "d": 5}
