@@ -1,6 +1,8 @@
 """Rules that route documents and images."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,26 @@ def rule_reasons() -> Column:
     return F.array_join(F.array_compact(F.array(*[F.when(F.expr(f"{c} {op} {b}"), f"{n}{p:+d}") for c, op, b, p, n in RULES])), "|")
 
 
+def character_spread(text: Column) -> Column:
+    """(entropy, variance): bits per character and population variance of the code points of a text; null where there is none."""
+
+    @F.arrow_udf("struct<entropy: double, variance: double>")
+    def spread(texts: pa.Array) -> pa.Array:
+        entropy, variance = [], []
+        for t in texts.to_pylist():
+            if not t:
+                entropy.append(None)
+                variance.append(None)
+                continue
+            codes, n = np.unique(np.frombuffer(t.encode("utf-32-le"), np.uint32), return_counts=True)
+            p = n / n.sum()
+            entropy.append(float(-(p * np.log2(p)).sum()))
+            variance.append(float((p * (codes - (p * codes).sum()) ** 2).sum()))
+        return pa.StructArray.from_arrays([pa.array(entropy, pa.float64()), pa.array(variance, pa.float64())], names=["entropy", "variance"])
+
+    return spread(text)
+
+
 def decision(score: Column, chars: Column, conf: Column) -> Column:
     """Only rows between the two sure bands need the probe."""
     return (

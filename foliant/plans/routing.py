@@ -70,8 +70,8 @@ _FEAT = """f AS (SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g'
 
 @query("document_rule_score", f"WITH {_FEAT} SELECT doc_id, {_SCORE} AS score FROM f")
 def document_rule_score(spark, d):
-    """The image rules on features of the documents' texts."""
-    f = read_table(spark, d, "documents").filter("length(text) > 0").selectExpr(
-        "doc_id", "length(regexp_replace(text, '[^A-Za-z]', '')) / double(length(text)) AS text_ratio", "(length(text) % 17) / 2.0D AS image_entropy",
-        "length(regexp_replace(text, '[^.,;:]', '')) / double(length(text)) AS edge_density", "double(length(text) * 7 % 1500) AS color_variance", "size(split(text, '\\n')) * 10 AS num_connected_components")
+    """The image rules on features of the documents' texts; the SQL has stand-ins for entropy and variance."""
+    f = read_table(spark, d, "documents").filter("length(text) > 0").withColumn("spread", R.character_spread(F.col("text"))).selectExpr(
+        "doc_id", "length(regexp_replace(text, '[^A-Za-z]', '')) / double(length(text)) AS text_ratio", "spread.entropy AS image_entropy",
+        "length(regexp_replace(text, '[^.,;:]', '')) / double(length(text)) AS edge_density", "spread.variance AS color_variance", "size(split(text, '\\n')) * 10 AS num_connected_components")
     return f.select("doc_id", R.rule_score().alias("score"))

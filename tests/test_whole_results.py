@@ -48,3 +48,18 @@ def test_newest_parse_keeps_documents_with_ties(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id string, leaflet_key long, s long").selectExpr("leaflet_key", "named_struct('doc_id', doc_id) AS meta", "timestamp_seconds(s) AS parsed_at")
     df.write.parquet(str(tmp_path / "leaflets.parquet"))
     assert {r.doc_id: r.newest for r in Q["newest_parse"](spark, str(tmp_path)).collect()} == {"a": 3, "b": 7, "c": 9, "d": 5}
+
+
+def test_document_rule_score_reads_the_characters(spark):
+    """The same statement with entropy and variance of the characters, on another engine."""
+    from foliant.plans.routing import _SCORE
+    from tests.harness import oracle, rows_of
+
+    names, rows = oracle(f"""WITH c AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).', 0)) AS ch FROM documents WHERE length(text) > 0) GROUP BY doc_id, ch),
+     t AS (SELECT doc_id, sum(n) AS total, sum(n * unicode(ch)::DOUBLE) / sum(n) AS mean FROM c GROUP BY doc_id),
+     e AS (SELECT doc_id, -sum(n / total * log2(n / total)) AS image_entropy, sum(n / total * (unicode(ch) - mean) ** 2) AS color_variance FROM c JOIN t USING (doc_id) GROUP BY doc_id),
+     f AS (SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(text)::DOUBLE AS text_ratio, image_entropy, length(regexp_replace(text, '[^.,;:]', '', 'g')) / length(text)::DOUBLE AS edge_density,
+      color_variance, len(string_split(text, chr(10))) * 10 AS num_connected_components FROM documents JOIN e USING (doc_id))
+     SELECT doc_id, {_SCORE} AS score FROM f""")
+    got = Q["document_rule_score"](spark, SF)
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(names, rows)
