@@ -5,9 +5,10 @@ span it stands for: full-width and look-alike letters, invisible characters, "[a
 spellings and digits written as words. Identifiers are detected on the plain text and the spans are
 mapped back, so positions are those of the source.
 
-Names: a lexicon of given and family names is fitted on a bounded sample of the documents
-(``sample_docs``) from phrases that announce a name; an Aho-Corasick automaton then finds family
-names anywhere, and a given name or initial beside it makes a mention.
+Names: a lexicon of given and family names is fitted on all documents from phrases that announce a
+name; an Aho-Corasick automaton then finds family names anywhere, and a given name or initial beside
+it makes a mention. A name announced in the document itself is a mention too, there and wherever the
+document repeats it, whether the lexicon has it or not.
 
 Defined results: null, empty and blank texts give no rows; a repeated document gives its rows again;
 spans of one document do not overlap (email before id_number before phone before address before
@@ -15,6 +16,7 @@ name); positions count code points.
 """
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,8 +28,7 @@ from pyspark.sql import functions as F
 from foliant.llm.lookalikes import LOOKALIKE
 from foliant.session import read_table
 
-SAMPLE_DOCS = 20_000
-LEXICON_ROWS = 20_000
+LEAST = {"latin": 2, "han": 4}  # times that a part of a name is announced before the lexicon has it
 
 # ---- transducer ----------------------------------------------------------------------------------
 _ALIKE = {x: k for k, v in LOOKALIKE.items() if k.isascii() and k.isalpha() for x in v}
@@ -161,11 +162,15 @@ def _addresses(t: str) -> Iterator[tuple[int, int]]:
 
 # ---- names ---------------------------------------------------------------------------------------
 _PART = r"(?:(?:von|van|zu|de la|de los|de|del|du|la|le|da|di) |[dD]['’])?"
-_NAME = rf"(?:(?P<g>[A-ZÀ-Þ][\w-]+)(?: [A-ZÀ-Þ]\.)? (?P<f>{_PART}[A-ZÀ-Þ][\w'’-]+)|(?P<f2>{_PART}[A-ZÀ-Þ][\w'’-]+), (?P<g2>[A-ZÀ-Þ][\w-]+)(?: [A-ZÀ-Þ]\.)?)"
-ANNOUNCED = re.compile(
-    rf"(?:Dr\. |Dra\. |[Dd]octeur |[Dd]octora? |next of kin: |Patient(?:in|e)? |[Pp]aciente |stammt von |vient de |notificación es de |documents to |(?:Herrn|Frau) |atención de |attention de |it's |reporter, |docteure ){_NAME}(?![\w])"
-)
-RANG = re.compile(rf"(?:^|[.>] |: ){_NAME} (?:rang again|hat den Befund|a signé|firmó)", re.M)
+_NAME = rf"(?P<name>(?P<g>[A-ZÀ-Þ][\w-]+)(?: [A-ZÀ-Þ]\.)? (?P<f>{_PART}[A-ZÀ-Þ][\w'’-]+)|(?P<f2>{_PART}[A-ZÀ-Þ][\w'’-]+), (?P<g2>[A-ZÀ-Þ][\w-]+)(?: [A-ZÀ-Þ]\.)?)"
+CUES = (
+    "Dr. |Dra. |docteur |Docteur |doctor |doctora |Doctor |Doctora |next of kin: |Patient |Patientin |Patiente |paciente |Paciente |Patient: |Patientin: |Patiente: |paciente: |Paciente: |stammt von |vient de "
+    "|notificación es de |documents to |Herrn |Frau |atención de |attention de |it's |reporter, |docteure "
+).split("|")
+ANNOUNCED = re.compile(rf"{_NAME}(?![\w])")
+RANG_AFTER = ("rang again", "hat den Befund", "a signé", "firmó")
+RANG = re.compile(rf"(?:^|[.>] |: ){_NAME} (?:{'|'.join(RANG_AFTER)})", re.M)
+HAN = re.compile("[一-龥]")
 ZH_ANNOUNCED = re.compile(r"(?:患者|报告人|护士|我是|经办人|家属|，)(?P<n>[一-龥]{2,4}?)(?=，身份证|，联系|记录，|，手机|。|来电|收。)|(?<=[。：\n >])(?P<m>[一-龥]{2,4})(?=医师)")
 # Family names of two characters.
 TWO_CHARS = ("欧阳", "司徒", "上官", "诸葛", "慕容", "司马", "夏侯", "皇甫", "尉迟", "公孙", "令狐", "宇文", "长孙", "东方", "独孤", "南宫", "闻人", "轩辕")
@@ -176,67 +181,104 @@ def _split_zh(name: str) -> tuple[str, str]:
     return name[:k], name[k:]
 
 
-def announced_names(text: str) -> Iterator[tuple[str, str, str]]:
-    """(script, given, family) of each name a phrase announces."""
-    for rx in (ANNOUNCED, RANG):
-        for m in rx.finditer(text):
-            g, f = (m["g"], m["f"]) if m["g"] else (m["g2"], m["f2"])
-            yield "latin", g.lower(), f.lower().replace("’", "'")
-    for m in ZH_ANNOUNCED.finditer(text):
-        f, g = _split_zh(m["n"] or m["m"])
-        if 1 <= len(g) <= 2:
-            yield "han", g, f
+@functools.cache
+def _cues():
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for c in CUES:
+        a.add_word(c, len(c))
+    a.make_automaton()
+    return a
+
+
+def announced(text: str) -> Iterator[tuple[str, str, str, int, int]]:
+    """(script, given, family, start, end) of each name a phrase announces."""
+
+    def latin(m: re.Match) -> tuple[str, str, str, int, int]:
+        g, f = (m["g"], m["f"]) if m["g"] else (m["g2"], m["f2"])
+        return "latin", g.lower(), f.lower().replace("’", "'"), *m.span("name")
 
+    last = 0
+    for end, n in _cues().iter(text):
+        m = ANNOUNCED.match(text, end + 1) if end + 1 - n >= last else None
+        if m:
+            last = m.end()
+            yield latin(m)
+    if any(k in text for k in RANG_AFTER):
+        yield from map(latin, RANG.finditer(text))
+    if not text.isascii() and HAN.search(text):
+        for m in ZH_ANNOUNCED.finditer(text):
+            f, g = _split_zh(m["n"] or m["m"])
+            if 1 <= len(g) <= 2:
+                yield "han", g, f, *m.span("n" if m["n"] else "m")
 
-def fit_lexicon(df: DataFrame, text: str, sample_docs: int = SAMPLE_DOCS, least: int = 2) -> dict[str, dict[str, set[str]]]:
-    """Given and family names from a bounded sample (rows with the smallest hash); at most LEXICON_ROWS names come to the driver."""
-    part = df.filter(F.length(text) > 20).select(F.col(text).alias("t"))
-    share = min(1.0, sample_docs / max(1, part.count()))
+
+def fit_lexicon(df: DataFrame, text: str, least: dict[str, int] = LEAST) -> dict[str, dict[str, set[str]]]:
+    """Given and family names announced often enough in all documents; Spark counts, only the names themselves come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = Counter(x for t in b.column(0).to_pylist() for x in announced_names(t))
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in c], pa.string()) for i in range(3)] + [pa.array(list(c.values()), pa.int64())], names=["script", "g", "f", "n"])
+            c: Counter = Counter()
+            for t in b.column(0).to_pylist():
+                for script, g, f, _, _ in announced(t):
+                    c[script, "g", g] += 1
+                    c[script, "f", f] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in c], pa.string()) for i in range(3)] + [pa.array(list(c.values()), pa.int64())], names=["script", "part", "w", "n"])
 
     rows = (
-        part.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30)))
-        .mapInArrow(run, "script string, g string, f string, n long")
-        .groupBy("script", "g", "f").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "script", "g", "f").limit(LEXICON_ROWS).collect()
+        df.select(F.col(text).alias("t")).filter(F.length("t") > 0).mapInArrow(run, "script string, part string, w string, n long")
+        .groupBy("script", "part", "w").agg(F.sum("n").alias("n"))
+        .filter(" OR ".join(f"script = '{s}' AND n >= {n}" for s, n in least.items())).select("script", "part", "w").toArrow()
     )
-    lex = {s: {"g": Counter(), "f": Counter()} for s in ("latin", "han")}
-    for r in rows:
-        lex[r["script"]]["g"][r["g"]] += r["n"]
-        lex[r["script"]]["f"][r["f"]] += r["n"]
-    out = {s: {k: {w for w, n in c.items() if n >= least and w} for k, c in x.items()} for s, x in lex.items()}
-    out["latin"]["f"] -= {"von", "van", "zu", "de", "del", "du", "la", "le", "da", "di", "d", "dr"} | {w for w in out["latin"]["f"] if len(w) < 3}
-    out["latin"]["g"] -= {w for w in out["latin"]["g"] if len(w) < 3}
-    out["han"]["g"] -= {w for w in out["han"]["g"] if lex["han"]["g"][w] < 4}
-    out["han"]["f"] -= {w for w in out["han"]["f"] if lex["han"]["f"][w] < 4}
+    out = {s: {"g": set(), "f": set()} for s in ("latin", "han")}
+    for s, k, w in zip(*(rows.column(i).to_pylist() for i in range(3))):
+        if s == "han" or (len(w) >= 3 and (k == "g" or w not in PARTICLES)):
+            out[s][k].add(w)
     return out
 
 
+PARTICLES = {"von", "van", "zu", "de", "del", "du", "la", "le", "da", "di", "d", "dr"}
+
+
 class Names:
     """Finds mentions with a fitted lexicon."""
 
+    # a given name or an initial before and after a family name; whether the lexicon has the given name is looked up
+    BEFORE, INITIAL_BEFORE = re.compile(r"(?<![\w'’-])(?P<g>[\w-]+)(?: \w\.)? $"), re.compile(r"(?<![\w'’-])\w\. $")
+    AFTER, INITIAL_AFTER = re.compile(r", (?P<g>[\w-]+)(?: \w\.(?!\w))?(?![\w'’-])"), re.compile(r", \w\.(?![\w'’-])")
+
     def __init__(self, lexicon: dict[str, dict[str, set[str]]]):
         import ahocorasick
 
-        self.han = None
-        self.latin = None
-        if lexicon["latin"]["f"] and lexicon["latin"]["g"]:
-            self.latin = ahocorasick.Automaton()
-            for f in lexicon["latin"]["f"]:
-                self.latin.add_word(f, len(f))
-            self.latin.make_automaton()
-            given = "|".join(sorted(map(re.escape, lexicon["latin"]["g"]), key=len, reverse=True))
-            self.before = re.compile(rf"(?<![\w'’-])(?:(?:{given})(?: \w\.)?|\w\.) $")
-            self.after = re.compile(rf", (?:(?:{given})(?: \w\.(?!\w))?|\w\.)(?![\w'’-])")
-        if lexicon["han"]["f"] and lexicon["han"]["g"]:
-            self.han = ahocorasick.Automaton()
-            for f in lexicon["han"]["f"]:
-                for g in lexicon["han"]["g"]:
-                    self.han.add_word(f + g, len(f + g))
-            self.han.make_automaton()
+        self.lexicon = lexicon
+        self.given = {s: lexicon[s]["g"] for s in ("latin", "han")}
+        self.latin, self.han = (ahocorasick.Automaton() if lexicon[s]["f"] and lexicon[s]["g"] else None for s in ("latin", "han"))
+        for s, a in (("latin", self.latin), ("han", self.han)):
+            if a is not None:
+                for f in lexicon[s]["f"]:
+                    a.add_word(f, len(f))
+                a.make_automaton()
+
+    def before(self, low: str, lo: int, s: int) -> re.Match | None:
+        m = self.BEFORE.search(low, lo, s)
+        return m if m and m["g"] in self.given["latin"] else self.INITIAL_BEFORE.search(low, lo, s)
+
+    def after(self, low: str, e: int) -> re.Match | None:
+        m = self.AFTER.match(low, e)
+        return m if m and m["g"] in self.given["latin"] else self.INITIAL_AFTER.match(low, e)
+
+    def new_names(self, t: str) -> tuple[list[tuple[int, int]], "Names | None"]:
+        """Spans of the names that the text itself announces, and what finds those of them that the lexicon lacks."""
+        spans, own = [], {s: {"g": set(), "f": set()} for s in ("latin", "han")}
+        for script, g, f, s, e in announced(t):
+            if script == "han" and t[s - 1 : s] == "，" and (t[e : e + 1] == "。" or f not in self.lexicon["han"]["f"]):
+                continue  # a comma alone announces too little
+            spans.append((s, e))
+            if g not in self.given[script] or f not in self.lexicon[script]["f"]:
+                own[script]["g"].add(g)
+                own[script]["f"].add(f)
+        return spans, Names(own) if any(x["f"] for x in own.values()) else None
 
     def find(self, t: str) -> Iterator[tuple[int, int]]:
         if self.latin is not None:
@@ -249,21 +291,29 @@ class Names:
                 s, e = end + 1 - n, end + 1
                 if s < last or (s and (low[s - 1].isalnum() or low[s - 1] in "-'@_.")) or (e < len(low) and (low[e].isalnum() or low[e] in "-_@")):
                     continue
-                b = self.before.search(low, max(0, s - 40), s)
+                b = self.before(low, max(0, s - 40), s)
                 if b:
                     # an initial counts only as a capital, and not as the end of a sentence's last word
                     if b.end() - b.start() > 4 or t[b.start()].isupper() or low[b.start() : b.end()].count(".") == 0:
                         last = e
                         yield b.start(), e
                         continue
-                a = self.after.match(low, e)
+                a = self.after(low, e)
                 if a and (t[a.end() - 1] != "." or t[a.start() + 2].isupper()):
                     last = a.end()
                     yield s, a.end()
         if self.han is not None:
-            for end, n in self.han.iter_long(t):
+            longest: dict[int, int] = {}
+            for end, n in self.han.iter(t):
                 s, e = end + 1 - n, end + 1
-                yield s, e
+                k = next((k for k in (2, 1) if e + k <= len(t) and t[e : e + k] in self.given["han"]), 0)
+                if k:
+                    longest[s] = max(longest.get(s, 0), e + k)
+            last = 0
+            for s, e in sorted(longest.items()):
+                if s >= last:
+                    last = e
+                    yield s, e
 
 
 _HAN_AFTER = re.compile(r"医师|医生|大夫|护士|记录|来电|收[。，\n]|，身份证|，联系|，手机|，证件|，电话|[。，,.;；\n<（(]|\s|$|先生|女士|的")
@@ -297,10 +347,12 @@ def mentions(text: str | None, names: Names) -> list[tuple[str, int, int]]:
                     break
                 at = nxt.end()
     found += [("address", s, e) for s, e in _addresses(t)]
-    for s, e in names.find(t):
-        if t[s] >= "一" and not (_HAN_AFTER.match(t, e) and _HAN_BEFORE.search(t, max(0, s - 4), s)):
+    spans, own = names.new_names(t)
+    for s, e in (*names.find(t), *spans, *(own.find(t) if own else ())):  # a span that an earlier one crosses goes
+        if t[s] >= "一" and (s, e) not in spans and not (_HAN_AFTER.match(t, e) and _HAN_BEFORE.search(t, max(0, s - 4), s)):
             continue
-        found.append(("name", s, e))
+        if all(k != "name" or e <= s2 or s >= e2 for k, s2, e2 in found):
+            found.append(("name", s, e))
     rank = {"email": 0, "id_number": 1, "phone": 2, "address": 3, "name": 4}
     kept: list[tuple[str, int, int]] = []
     for k, s, e in sorted(found, key=lambda x: (rank[x[0]], x[1], -x[2])):

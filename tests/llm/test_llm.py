@@ -251,6 +251,22 @@ def test_mentions(text, want):
         assert all(v not in pii.mask(text, spans) for _, v in want)
 
 
+@pytest.mark.parametrize("text,want", [
+    ("Patient: Quilla Varnhoeve was seen.", ["Quilla Varnhoeve"]), ("Dr. Quilla T. Varnhoeve wrote; later Varnhoeve, Quilla called, and Q. Varnhoeve.", ["Quilla T. Varnhoeve", "Varnhoeve, Quilla", "Q. Varnhoeve"]),
+    ("患者綦毓，身份证号见附件。联系人綦毓，谢谢。", ["綦毓", "綦毓"]), ("The Varnhoeve index was 3.", []), ("家属桑", []),
+])
+def test_names_announced_in_the_text_itself(text, want):
+    for lex in (LEX, {s: {"g": set(), "f": set()} for s in LEX}):
+        assert [text[s:e] for k, s, e in pii.mentions(text, pii.Names(lex)) if k == "name"] == want
+
+
+def test_lexicon_of_all_documents(spark):
+    names = [(f"Gi{chr(97 + i // 26)}{chr(97 + i % 26)}o", f"Fa{chr(97 + i // 26)}{chr(97 + i % 26)}ley") for i in range(60)]
+    rare = spark.createDataFrame([(f"Seen by Dr. {g} {f} on day {k}.",) for g, f in names for k in range(2)], "text string")
+    lex = pii.fit_lexicon(spark.range(60_000).selectExpr("concat('the dose was halved on day ', id) AS text").unionByName(rare), "text")
+    assert lex["latin"] == {"g": {g.lower() for g, _ in names}, "f": {f.lower() for _, f in names}}
+
+
 def test_plain_maps_back():
     t = "x​y a＠b．c (at) д"
     p, a, b = pii.plain(t)
