@@ -5,8 +5,10 @@ combinations: under each of several random orders of all tokens, the prefix of l
 of ``bands`` hash classes is taken, and the tokens of one class under all orders form one
 combination of that many tokens, which is indexed. Two texts of similarity s share a combination
 with probability 1 - (1 - s^orders)^bands. Low bits of each combination sketch the rest of the text, so
-most chance meetings end before any text is moved; at s = 0.8 a pair is lost with 1e-6. Every other
-candidate is verified on the whole sets. (README: why frequency-ordered prefixes do not work on these texts.)
+most chance meetings end before any text is moved; at s = 0.8 a pair of texts with ``LEAST_TOKENS`` or more
+different tokens is lost with 1e-6 if classes are independent. Texts with fewer leave classes empty, which
+then repeat each other: they are indexed by prefixes of their sorted tokens as well, which loses no pair.
+Every candidate is verified on the whole sets. (README: why frequency-ordered prefixes do not work on these texts.)
 
 Copies are one text: they are brought together per partition before the shuffle and by digest after
 it; classes and links are computed between different texts only, members come back by a join.
@@ -32,12 +34,12 @@ LEAST_CHARS = 200
 SHAPES = ((500_000, 6, 48), (10_000_000, 7, 60), (1 << 62, 8, 75))
 BITS = 28  # of a combination's 64 bits are a sketch of the rest of the text
 AGREE = 23  # of them must agree; a pair at 0.8 passes with 0.95 in each of the combinations it shares
+LEAST_TOKENS = 100  # pairs with a text of fewer different tokens are found by prefixes
 _MIX = np.random.default_rng(20240417).integers(1, 2**63, size=(16, 4), dtype=np.uint64) | np.uint64(1)
 
 
-def combinations(texts: list[str], width: int = WIDTH, orders: int = SHAPES[0][1], bands: int = SHAPES[0][2]) -> np.ndarray:
-    """uint64[len(texts), bands]: hashed token combinations (upper bits) with BITS low bits, each the
-    parity of a least token of another class; texts have >= width characters."""
+def hashed_tokens(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all substrings of the texts, in order, and the text of each."""
     data = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
     length = np.array([len(t) for t in texts])
     ends = np.cumsum(length)
@@ -47,7 +49,37 @@ def combinations(texts: list[str], width: int = WIDTH, orders: int = SHAPES[0][1
         h = (h ^ data[i : len(data) - width + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     inside = np.arange(len(h)) + width <= ends[doc[: len(h)]]
-    h, doc = h[inside], doc[: len(h)][inside]
+    return h[inside], doc[: len(h)][inside]
+
+
+def prefixes(texts: list[str], width: int = WIDTH, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, text of each) of the texts that a pair with fewer than LEAST_TOKENS tokens may hold.
+
+    Two sets at or over the threshold share one of the first n - ceil(threshold n) + 1 of their sorted tokens,
+    and their sizes lie in the same or in neighbouring classes. BITS low bits are 0: all entries agree.
+    """
+    h, doc = hashed_tokens(texts, width)
+    at = np.searchsorted(doc, np.arange(len(texts) + 1))
+    sigs, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i in range(len(texts)):
+        t = np.unique(h[at[i] : at[i + 1]])
+        n = len(t)
+        if n * threshold >= LEAST_TOKENS:
+            continue
+        size = int(np.log(n) / -np.log(threshold) + 1e-9) if threshold < 1 else n
+        t = t[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
+        for c in (size, size + 1):
+            u = (t ^ np.uint64(c)) * _MIX[0, 3]
+            u ^= u >> np.uint64(32)
+            sigs.append((u * _MIX[1, 3]) >> np.uint64(BITS) << np.uint64(BITS))
+            of.append(np.full(len(t), i))
+    return np.concatenate(sigs), np.concatenate(of)
+
+
+def combinations(texts: list[str], width: int = WIDTH, orders: int = SHAPES[0][1], bands: int = SHAPES[0][2]) -> np.ndarray:
+    """uint64[len(texts), bands]: hashed token combinations (upper bits) with BITS low bits, each the
+    parity of a least token of another class; texts have >= width characters."""
+    h, doc = hashed_tokens(texts, width)
     out = np.zeros((len(texts), bands), np.uint64)
     none = np.uint32(0xFFFFFFFF)
     slot0 = doc * bands
@@ -81,7 +113,7 @@ def combinations(texts: list[str], width: int = WIDTH, orders: int = SHAPES[0][1
     return (out >> np.uint64(BITS) << np.uint64(BITS)) | sketch
 
 
-def _index(batches: Iterator[pa.RecordBatch], width: int, orders: int, bands: int) -> Iterator[pa.RecordBatch]:
+def _index(batches: Iterator[pa.RecordBatch], width: int, orders: int, bands: int, threshold: float) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for b in batches:
         digest = b.column(0).to_pylist()
@@ -89,8 +121,10 @@ def _index(batches: Iterator[pa.RecordBatch], width: int, orders: int, bands: in
         if new:
             texts = b.column(1).take(pa.array(new)).to_pylist()
             sig = combinations(texts, width, orders, bands)
-            d = np.repeat(np.array([digest[i] for i in new], np.int64), sig.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(sig.ravel().view(np.int64)), pa.array(d)], names=["sig", "digest"])
+            few, of = prefixes(texts, width, threshold)
+            ids = np.array([digest[i] for i in new], np.int64)
+            d = np.r_[np.repeat(ids, sig.shape[1]), ids[of]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[sig.ravel(), few].view(np.int64)), pa.array(d)], names=["sig", "digest"])
 
 
 def _pairs_of_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +166,7 @@ def similar_texts(df: DataFrame, key: str, text: str, threshold: float = THRESHO
     total = df.count()
     orders, bands = next((o, b) for most, o, b in SHAPES if total <= most)
     candidates = (
-        part.select("digest", "text").mapInArrow(lambda it: _index(it, width, orders, bands), "sig long, digest long")
+        part.select("digest", "text").mapInArrow(lambda it: _index(it, width, orders, bands, threshold), "sig long, digest long")
         .repartition(n, F.shiftright("sig", BITS)).mapInArrow(_pairs_of_equal, "a long, b long").distinct()
     )
     texts = part.groupBy("digest").agg(F.first("text").alias("text"))

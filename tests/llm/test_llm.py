@@ -163,6 +163,17 @@ def test_near_duplicates_empty(spark):
     assert members.count() == 0 and links.count() == 0
 
 
+def test_near_texts_of_few_tokens(spark):
+    rows = []
+    for i in range(500):  # cycles of 12 characters; three more characters behind them: 12 of 15 tokens are shared
+        c = "".join(chr(0x4E00 + 15 * i + k) for k in range(12))
+        rows += [(2 * i, c * 20), (2 * i + 1, c * 20 + "".join(chr(0x4E00 + 15 * i + k) for k in range(12, 15)))]
+    df = spark.createDataFrame(rows, "key long, text string")
+    members, links = neardup.similar_texts(df, "key", "text")
+    key = {r.digest: r.key for r in members.collect()}
+    assert {tuple(sorted((key[r.a], key[r.b]))) for r in links.collect()} == {(2 * i, 2 * i + 1) for i in range(500)}
+
+
 # ---- 5 -------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("a,b", [("Ａ１％", "A1%"), ("é", "é"), ("e​́", "é"), ("a b", "a b"), ("ﬁ", "fi"), ("Cіtу", "City"), ("⼀⽚", "一片"), ("不", "不"), ("ё", "ë"), ("x­⁠︀y", "xy"), ("ΑΒ", "AB")])
 def test_same_look(a, b):
