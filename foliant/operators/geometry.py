@@ -1,7 +1,6 @@
 """Boxes, table fragments and captions of a page's elements."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,62 +32,57 @@ def merge_islands(tables: DataFrame, key: str) -> DataFrame:
     return g.groupBy(key, "table_no").agg(F.min("page").alias("page"), F.max("page").alias("page_end"), F.max("cols").alias("cols"), F.sum("n_rows").cast("long").alias("n_rows"), F.count("*").alias("merged"))
 
 
-def _attach(items: list[dict]) -> list[dict]:
-    """A caption closes the open window. A figure caption directly behind an uncaptioned figure goes back to it; a table
-    caption goes to the next element if that is a table or figure; a figure caption covers all figures of its page below it and of the
-    next page until another caption or table. A caption that found nothing is a paragraph where its window closes."""
-    out: list[dict] = []
-    pend: dict | None = None
-    used = False
-
-    def close() -> None:
-        nonlocal pend, used
-        if pend is not None and not used:
-            out.append({**pend, "kind": "paragraph", "caption": None})
-        pend, used = None, False
-
-    for e in items:
-        k = e["kind"]
-        if k == "caption":
-            close()
-            if e["text"].startswith("图") and out and out[-1]["kind"] == "figure" and not out[-1].get("caption"):
-                out[-1] = {**out[-1], "caption": e["text"]}
-            else:
-                pend, used = e, False
-            continue
-        if pend is not None:
-            is_fig = pend["text"].startswith("图")
-            if k == "table":
-                if not is_fig and not used:
-                    out.append({**e, "caption": pend["text"]})
-                    used = True
-                    close()
-                    continue
-                close()
-            elif k == "figure":
-                near = (e["page"] == pend["page"] and e["y0"] >= pend["y0"] - 1) or e["page"] == pend["page"] + 1
-                if is_fig and near:
-                    out.append({**e, "caption": pend["text"]})
-                    used = True
-                    continue
-                if not is_fig and not used:
-                    out.append({**e, "caption": pend["text"]})
-                    used = True
-                close()
-                if out and out[-1].get("seq") == e["seq"]:
-                    continue
-            elif not is_fig:
-                close()
-        out.append({**e, "caption": None})
-    close()
-    return out
+FIGURE_CAPTION = r"^图\s*\d+"
 
 
 def attach_captions(el: DataFrame, key: str) -> DataFrame:
-    """(key, pos, kind, text, page, caption) of elements (key, seq, kind, text, page, y0), in reading order; one document a group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _attach(pdf.sort_values("seq").to_dict("records"))
-        return pd.DataFrame([{key: r[key], "pos": i, "kind": r["kind"], "text": r["text"], "page": r["page"], "caption": r.get("caption")} for i, r in enumerate(rows)])
+    """(key, pos, kind, text, page, caption) of elements (key, seq, kind, text, page, y0), in reading order.
 
-    return el.groupBy(key).applyInPandas(run, f"{key} {dict(el.dtypes)[key]}, pos int, kind string, text string, page int, caption string")
+    A caption opens a window that ends before the next caption. A table caption belongs to the element directly behind it
+    if that is a table or figure. A figure caption belongs to every figure of its window before the first table that is
+    on its page and not above it (``y0`` one less is still level) or on the next page. A figure caption directly behind a
+    figure that has none, while no caption waits, belongs to that figure and opens no window. A caption that belongs to
+    nothing is a paragraph: a table caption in its place, a figure caption where its window ends (the first table, or the
+    next caption). Null y0 counts as 0.
+    """
+    doc = W.partitionBy(key).orderBy("seq")
+    own = W.partitionBy(key, "win")
+    order = own.orderBy("seq")
+    is_cap = F.col("kind") == "caption"
+    x = el.withColumn("win", F.sum(is_cap.cast("int")).over(doc)).withColumn("y_", F.coalesce("y0", F.lit(0.0)))
+    for name, value in (("cap", F.col("text")), ("cap_page", F.col("page")), ("cap_y", F.col("y_"))):
+        x = x.withColumn(name, F.first(F.when(is_cap, value)).over(order))
+    x = (
+        x.withColumn("is_fig", F.coalesce(F.col("cap").rlike(FIGURE_CAPTION), F.lit(False)))
+        .withColumn("nth", F.row_number().over(order) - F.when(F.col("win") > 0, 1).otherwise(0))  # 0: the caption itself
+        .withColumn("after_table", F.coalesce(F.max((F.col("kind") == "table").cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) > 0)
+    )
+    in_reach = ((F.col("page") == F.col("cap_page")) & (F.col("y_") >= F.col("cap_y") - 1)) | (F.col("page") == F.col("cap_page") + 1)
+    below = F.when(F.col("win") == 0, False).when(is_cap, False).when(
+        F.col("is_fig"), (F.col("kind") == "figure") & ~F.col("after_table") & in_reach
+    ).otherwise((F.col("nth") == 1) & F.col("kind").isin("table", "figure"))
+    x = x.withColumn("below", F.coalesce(below, F.lit(False)))
+    # one row per window: does its own caption wait at its end, is its last element a figure left without one
+    win = x.groupBy(key, "win").agg(
+        F.first("is_fig").alias("fig"), F.max("below").alias("hit"), F.max((F.col("kind") == "table").cast("int")).alias("has_table"),
+        F.max("nth").alias("n"), F.max_by("kind", "seq").alias("last_kind"), F.max_by("below", "seq").alias("last_below"),
+    )
+    per = W.partitionBy(key).orderBy("win")
+    before = lambda c: F.lag(c).over(per)
+    may = F.col("fig") & F.coalesce((before("last_kind") == "figure") & (before("n") >= 1), F.lit(False))
+    waits = F.when(before("fig"), ~before("hit") & (before("has_table") == 0)).otherwise(before("n") == 0)
+    free = (before("win") == 0) | (~before("last_below") & ~waits)
+    # a window that opened none leaves its figures free, so a run of captions behind figures goes back as a whole once one does
+    win = win.withColumn("may", may).withColumn("sure", may & F.coalesce(free, F.lit(False))).withColumn("run", F.sum((~F.col("may")).cast("int")).over(per))
+    win = win.withColumn("back", F.max("sure").over(W.partitionBy(key, "run").orderBy("win")) & F.col("may"))
+    win = win.withColumn("next_back", F.coalesce(F.lead("back").over(per), F.lit(False))).select(key, "win", "back", "hit", "next_back")
+    y = x.join(win, [key, "win"]).withColumn("below", F.col("below") & ~F.col("back")).withColumn("last", F.row_number().over(own.orderBy(F.desc("seq"))) == 1)
+    next_cap = F.lead("text").over(doc)
+    y = y.withColumn("caption", F.when(F.col("below"), F.col("cap")).when(F.col("last") & F.col("next_back"), next_cap))
+    first_table = F.min(F.when(F.col("kind") == "table", F.col("seq"))).over(own)
+    end = F.max("seq").over(own)
+    lost = is_cap & ~F.col("back") & ~F.col("hit")
+    y = y.withColumn("at", F.when(lost & F.col("is_fig"), F.coalesce(first_table, end)).otherwise(F.col("seq"))).withColumn("turn", F.when(lost & F.col("is_fig"), F.when(first_table.isNotNull(), -1).otherwise(1)).otherwise(0))
+    kept = y.filter(~is_cap | lost).withColumn("kind", F.when(is_cap, "paragraph").otherwise(F.col("kind")))
+    place = W.partitionBy(key).orderBy("at", "turn")
+    return kept.withColumn("pos", F.row_number().over(place) - 1).select(key, "pos", "kind", "text", "page", "caption")

@@ -8,12 +8,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def error_class(status: Column, exc: Column) -> Column:
-    """SAFE may be retried, UNKNOWN may have had an effect, NO must not be retried."""
+def error_class(status: Column, exc: Column, message: Column | None = None) -> Column:
+    """SAFE may be retried, UNKNOWN may have had an effect, NO must not be retried. The status decides if there is one, then
+    the kinds of exception that are known, then what name (in any case) and message hint at."""
+    name = F.lower(exc)
+    late = name.contains("timeout") | F.lower(F.lit("") if message is None else F.coalesce(message, F.lit(""))).contains("timed out")
     return (
         F.when(status.isin(429, 503), "SAFE").when(status == 504, "UNKNOWN").when(status >= 500, "SAFE").when(status.isNotNull(), "NO")
-        .when(exc.rlike("^ConnectTimeout"), "SAFE").when(exc.rlike("Timeout"), "UNKNOWN").when(exc.rlike("Reset|BrokenPipe|Chunked"), "UNKNOWN")
-        .when(exc.rlike("Connection"), "SAFE").otherwise("NO")
+        .when(exc == "ConnectTimeout", "SAFE").when(exc.isin("ConnectionResetError", "BrokenPipeError", "ChunkedEncodingError"), "UNKNOWN").when(late, "UNKNOWN")
+        .when(name.rlike("connection|network|dns"), "SAFE").when(name.rlike("reset|broken|chunked"), "UNKNOWN").otherwise("NO")
     )
 
 

@@ -93,11 +93,10 @@ def dense_top(queries: DataFrame, docs: DataFrame, qkey: str, dkey: str, vector:
 
 
 def longest_prefix(items: DataFrame, name: str, prefixes: DataFrame, prefix: str) -> DataFrame:
-    """Adds ``prefix``: the longest one with which the name starts before an underscore; none gives null.
+    """Adds ``prefix``: the longest one with which the name starts before an underscore; none, or a null name, gives null.
 
-    An equi-join on the leading parts of the name, so no nested loop is needed.
+    An equi-join on the leading parts of the different names, so no nested loop is needed; repeated rows stay repeated.
     """
-    parts = items.withColumn("p_", F.explode_outer(F.expr(f"transform(sequence(1, size(split({name}, '_'))), i -> array_join(slice(split({name}, '_'), 1, i - 1), '_'))")))
-    hit = parts.join(prefixes.select(F.col(prefix).alias("p_"), F.col(prefix)), "p_", "left")
-    keys = [c for c in items.columns]
-    return hit.groupBy(*keys).agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
+    parts = items.select(F.col(name).alias("n_")).distinct().withColumn("p_", F.explode(F.expr("transform(sequence(1, size(split(n_, '_'))), i -> array_join(slice(split(n_, '_'), 1, i - 1), '_'))")))
+    hit = parts.join(prefixes.select(F.col(prefix).alias("p_")).distinct(), "p_").groupBy("n_").agg(F.max_by("p_", F.length("p_")).alias(prefix))
+    return items.join(hit, F.col(name) == F.col("n_"), "left").drop("n_")

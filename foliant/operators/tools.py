@@ -49,7 +49,7 @@ class Registry:
         if t is None:
             return "UNKNOWN_TOOL", None, f"no tool {name}"
         try:
-            given = json.loads(args or "")
+            given = json.loads(args or "{}")  # no arguments are an empty set of arguments
             if not isinstance(given, dict):
                 raise ValueError("not an object")
         except ValueError as e:

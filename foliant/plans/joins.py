@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.operators import geometry as G
-from foliant.registry import query, sql_query
+from foliant.registry import query, spark_sql, sql_query
 from foliant.session import read_table
 
 _IN = "(VALUES (0, 'a.png'), (1, 'bad.png'), (2, 'c.png'), (3, 'd.png')) AS i(idx, path)"
@@ -37,12 +37,28 @@ def table_merge_islands(spark, d):
     return G.merge_islands(spark.sql(f"SELECT * FROM {_FR}"), "doc_id")
 
 
-ELEMENTS = "(VALUES ('a', 1, 'caption', '图 4 曲线', 1, 10.0D), ('a', 2, 'figure', '', 1, 20.0D), ('a', 3, 'paragraph', 'A) x', 1, 40.0D), ('a', 4, 'figure', '', 2, 5.0D), ('a', 5, 'table', '', 2, 50.0D), ('b', 1, 'figure', '', 1, 1.0D), ('b', 2, 'caption', '图 1', 1, 9.0D), ('b', 3, 'caption', '表 2', 1, 20.0D), ('b', 4, 'paragraph', 'text', 1, 30.0D), ('b', 5, 'caption', '表 3', 2, 1.0D), ('b', 6, 'table', '', 2, 9.0D)) AS e(doc_id, seq, kind, text, page, y0)"
-
-
-@query("caption_attach")
+# Captions stand above their table or figure, those of every third chunk below it.
+ELEMENTS = """SELECT leaflet_key AS doc_id, page_start * 1000000000000 + chunk_key * 2 + CASE WHEN chunk_key % 3 = 0 THEN 1 ELSE 0 END AS seq, 'caption' AS kind, caption AS text, page_start AS page, CAST(chunk_key % 5 AS DOUBLE) AS y0
+  FROM chunks WHERE caption IS NOT NULL
+ UNION ALL SELECT leaflet_key, page_start * 1000000000000 + chunk_key * 2 + CASE WHEN chunk_key % 3 = 0 THEN 0 ELSE 1 END, CASE WHEN type IN ('table', 'figure') THEN type ELSE 'paragraph' END, id, page_start, CAST(chunk_key % 5 AS DOUBLE) FROM chunks"""
+
+
+@query("caption_attach", f"""WITH RECURSIVE e0 AS ({ELEMENTS}), e1 AS (SELECT * FROM e0 UNION ALL SELECT doc_id, max(seq) + 1, 'end', '', 0, 0.0 FROM e0 GROUP BY doc_id),
+ e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS rn, regexp_matches(text, '^图\\s*\\d+') AS fig FROM e1),
+ r AS (SELECT doc_id, 0::BIGINT AS rn, '' AS kind, '' AS text, 0 AS page, NULL::VARCAR AS w_text, 0 AS w_page, 0.0::DOUBLE AS w_y, false AS w_fig, false AS w_used, '' AS l_kind, false AS l_cap, NULL::VARCAR AS lost, 0 AS lost_page, NULL::VARCAR AS own, false AS back FROM e WHERE rn = 1
+  UNION ALL SELECT doc_id, rn, kind, text, page, CASE WHEN kind = 'caption' AND NOT back THEN text WHEN shut THEN NULL ELSE w_text END, CASE WHEN kind = 'caption' THEN page ELSE w_page END, CASE WHEN kind = 'caption' THEN y0 ELSE w_y END, CASE WHEN kind = 'caption' THEN fig ELSE w_fig END,
+   CASE WHEN kind = 'caption' THEN false ELSE w_used OR own IS NOT NULL END, CASE WHEN kind NOT IN ('caption', 'end') THEN kind WHEN lost THEN 'paragraph' ELSE l_kind END, CASE WHEN kind NOT IN ('caption', 'end') THEN own IS NOT NULL WHEN lost THEN false ELSE l_cap OR back END,
+   CASE WHEN lost THEN w_text END, w_page, own, back
+  FROM (SELECT *, kind = 'caption' AND fig AND NOT lost AND l_kind = 'figure' AND NOT l_cap AS back FROM (
+   SELECT e.*, r.w_text, r.w_page, r.w_y, r.w_fig, r.w_used, r.l_kind, r.l_cap, e.kind IN ('caption', 'end') OR (r.w_text IS NOT NULL AND (NOT r.w_fig OR e.kind = 'table')) AS shut,
+    CASE WHEN NOT r.w_fig AND e.kind IN ('table', 'figure') THEN r.w_text WHEN r.w_fig AND e.kind = 'figure' AND ((e.page = r.w_page AND e.y0 >= r.w_y - 1) OR e.page = r.w_page + 1) THEN r.w_text END AS own,
+    r.w_text IS NOT NULL AND NOT r.w_used AND (e.kind IN ('caption', 'end') OR (NOT r.w_fig AND e.kind NOT IN ('table', 'figure')) OR (r.w_fig AND e.kind = 'table')) AS lost
+   FROM r JOIN e ON e.doc_id = r.doc_id AND e.rn = r.rn + 1))),
+ o AS (SELECT doc_id, rn, 0 AS part, 'paragraph' AS kind, lost AS text, lost_page AS page, NULL::VARCAR AS caption FROM r WHERE lost IS NOT NULL
+  UNION ALL SELECT doc_id, rn, 1, kind, text, page, coalesce(own, CASE WHEN nback THEN ntext END) FROM (SELECT *, lead(back) OVER (PARTITION BY doc_id ORDER BY rn) AS nback, lead(text) OVER (PARTITION BY doc_id ORDER BY rn) AS ntext FROM r) WHERE kind NOT IN ('', 'caption', 'end'))
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rn, part) - 1 AS INT) AS pos, kind, text, page, caption FROM o""".replace("VARCAR", "VARCHAR"))
 def caption_attach(spark, d):
-    return G.attach_captions(spark.sql(f"SELECT * FROM {ELEMENTS}"), "doc_id")
+    return G.attach_captions(spark_sql(spark, d, ELEMENTS), "doc_id")
 
 
 _CACHE = "(SELECT DISTINCT sha2(text, 256) AS h, 'v1' AS version FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL UNION ALL SELECT DISTINCT sha2(text, 256), 'v0' FROM documents WHERE doc_id % 3 = 1 AND text IS NOT NULL)"
@@ -54,9 +70,9 @@ sql_query("result_key", "SELECT leaflet_key, concat(pdf_hash, ':', left(sha2(con
           "SELECT leaflet_key, pdf_hash || ':' || left(sha256(concat_ws('|', route, '600', file)), 32) AS ident FROM leaflets")
 
 
-@query("newest_parse", "SELECT meta.doc_id AS doc_id, max_by(leaflet_key, parsed_at) AS newest FROM leaflets WHERE parsed_at IS NOT NULL GROUP BY meta.doc_id HAVING count(*) = count(DISTINCT parsed_at)")
+@query("newest_parse", "SELECT doc_id, leaflet_key AS newest FROM (SELECT meta.doc_id AS doc_id, leaflet_key, row_number() OVER (PARTITION BY meta.doc_id ORDER BY parsed_at DESC, leaflet_key DESC) AS n FROM leaflets WHERE parsed_at IS NOT NULL) WHERE n = 1")
 def newest_parse(spark, d):
-    """The newest parse of every document; of those at the same second the one with the largest key. The SQL leaves out documents with such ties."""
+    """The newest parse of every document; of those at the same second the one with the largest key."""
     x = read_table(spark, d, "leaflets").filter("parsed_at IS NOT NULL")
     return x.groupBy(F.col("meta.doc_id").alias("doc_id")).agg(F.max_by("leaflet_key", F.struct("parsed_at", "leaflet_key")).alias("newest"))
 
@@ -85,16 +101,35 @@ def mineru_pack(spark, d):
 sql_query("union_all", "SELECT chunk_key AS id, 'chunk' AS src FROM chunks UNION ALL SELECT image_id, 'page' FROM to_description UNION ALL SELECT vec_id, 'vector' FROM embed_response")
 sql_query("page_elements", "SELECT leaflet_key, page_start AS page, count(*) AS n, min(chunk_key) AS first_chunk FROM chunks GROUP BY leaflet_key, page_start")
 
-FRAGMENTS = "(VALUES ('a', 1, 'caption', 1, 1, CAST(NULL AS ARRAY<ARRAY<STRING>>)), ('a', 2, 'table', 1, 1, array(array('h1', 'h2'), array('1', '2'))), ('a', 3, 'table', 2, 2, array(array('h1', 'h2', 'h3', 'h4', 'h5'))), ('a', 4, 'table', 3, 3, array(array('h1', 'h2'), array('3', '4'))), ('b', 1, 'table', 1, 1, array(array('x'), array('y'))), ('b', 2, 'table', 2, 2, array(array('x'))), ('b', 3, 'paragraph', 2, 2, NULL), ('b', 4, 'table', 2, 2, array(array('x')))) AS f(doc_id, seq, kind, page, page_end, rows)"
-
-
-@query("table_fragments", "SELECT * FROM (VALUES ('a', 0, 'caption', 1, 1, 0, 1), ('a', 1, 'table', 1, 3, 4, 3), ('b', 0, 'table', 1, 2, 2, 1), ('b', 1, 'paragraph', 2, 2, 0, 1), ('b', 2, 'table', 2, 2, 1, 1)) AS t(doc_id, pos, kind, page, page_end, n_rows, merged)")
+# Tables of the chunks, divided into fragments of four rows that repeat the header on the next page; a few begin one page too late, a few repeat the header only.
+_CELLS = "list_transform(list_filter(string_split(content, chr(10)), lambda l: starts_with(l, '|') AND NOT starts_with(l, '| ---')), lambda l: string_split(l[3:-3], ' | '))"
+
+
+@query("table_fragments", f"""WITH RECURSIVE t AS (SELECT leaflet_key, chunk_key, page_start, caption, {_CELLS} AS r FROM chunks WHERE type = 'table'),
+ f AS (SELECT *, unnest(range(greatest(1, (len(r) + 2) // 4))) AS i FROM t),
+ e0 AS (SELECT leaflet_key AS doc_id, page_start * 1000000000000 + chunk_key * 100 AS seq, 'caption' AS kind, page_start AS page, []::VARCHAR[][] AS rows FROM t WHERE caption IS NOT NULL
+  UNION ALL SELECT leaflet_key, page_start * 1000000000000 + chunk_key * 100 + 1 + i, 'table', page_start + i + CASE WHEN chunk_key % 7 = 0 AND i > 0 THEN 1 ELSE 0 END, CASE WHEN chunk_key % 5 = 0 AND i = 1 THEN r[1:1] ELSE list_concat(r[1:1], r[4 * i + 2:4 * i + 5]) END FROM f),
+ e AS (SELECT doc_id, kind, page, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS rn, coalesce(list_max(list_transform(rows, lambda x: len(x))), 0) AS cols, list_transform(rows, lambda x: array_to_string(list_transform(x, lambda c: trim(replace(coalesce(c, ''), chr(10), ''))), '|')) AS norms FROM e0),
+ g AS (SELECT doc_id, rn, 0 AS grp, kind, page, page AS page_end, norms, cols, 1 AS merged, '' AS above FROM e WHERE rn = 1
+  UNION ALL SELECT doc_id, rn, CASE WHEN goes THEN grp ELSE grp + 1 END, CASE WHEN goes THEN k0 ELSE kind END, CASE WHEN goes THEN p0 ELSE page END, page, CASE WHEN goes THEN list_concat(n0, tail) ELSE norms END,
+    CASE WHEN NOT goes THEN cols WHEN len(tail) > 0 THEN greatest(c0, cols) ELSE c0 END, CASE WHEN NOT goes THEN 1 WHEN len(tail) > 0 THEN m0 + 1 ELSE m0 END, CASE WHEN goes THEN above ELSE k0 END
+  FROM (SELECT e.*, g.grp, g.kind AS k0, g.page AS p0, g.norms AS n0, g.cols AS c0, g.merged AS m0, g.above, e.kind = 'table' AND g.kind = 'table' AND e.page - g.page_end <= 1 AND (e.cols = g.cols OR (g.above = 'caption' AND len(g.norms) <= 3 AND e.page - g.page_end = 1)) AS goes,
+     CASE WHEN coalesce(list_position(list_transform(e.norms, lambda x: list_contains(g.norms[1:3], x)), false), 0) = 0 THEN []::VARCHAR[] ELSE e.norms[list_position(list_transform(e.norms, lambda x: list_contains(g.norms[1:3], x)), false):] END AS tail
+   FROM g JOIN e ON e.doc_id = g.doc_id AND e.rn = g.rn + 1))
+ SELECT doc_id, grp AS pos, kind, page, page_end, CAST(len(norms) AS INT) AS n_rows, merged FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, grp ORDER BY rn DESC) AS back FROM g) WHERE back = 1""")
 def table_fragments(spark, d):
     from foliant.operators.fragments import merge_tables
 
-    return merge_tables(spark.sql(f"SELECT * FROM {FRAGMENTS}"), "doc_id")
+    t = read_table(spark, d, "chunks").filter("type = 'table'").selectExpr(
+        "leaflet_key", "chunk_key", "page_start", "caption", r"transform(filter(split(content, '\n'), l -> startswith(l, '|') AND NOT startswith(l, '| ---')), l -> split(substr(l, 3, length(l) - 4), ' [|] ')) AS r")
+    seq = "page_start * 1000000000000 + chunk_key * 100"
+    captions = t.filter("caption IS NOT NULL").selectExpr("leaflet_key AS doc_id", f"{seq} AS seq", "'caption' AS kind", "page_start AS page", "cast(array() AS array<array<string>>) AS rows")
+    parts = t.withColumn("i", F.explode(F.expr("sequence(0, greatest(1, div(size(r) + 2, 4)) - 1)".replace("div(size(r) + 2, 4)", "int(floor((size(r) + 2) / 4))")))).selectExpr(
+        "leaflet_key AS doc_id", f"{seq} + 1 + i AS seq", "'table' AS kind", "page_start + i + CASE WHEN chunk_key % 7 = 0 AND i > 0 THEN 1 ELSE 0 END AS page",
+        "CASE WHEN chunk_key % 5 = 0 AND i = 1 THEN slice(r, 1, 1) ELSE concat(slice(r, 1, 1), slice(r, 4 * i + 2, 4)) END AS rows")
+    return merge_tables(captions.unionByName(parts).withColumn("page_end", F.col("page")), "doc_id")
 
 
 sql_query("bold_lines", "SELECT id, exists(spans, s -> s.flags & 16 <> 0 OR contains(s.font, 'Bold')) AS bold FROM (VALUES (1, array(named_struct('flags', 16, 'font', 'A'))), (2, array(named_struct('flags', 4, 'font', 'A'), named_struct('flags', 0, 'font', 'X-Bold'))), (3, array(named_struct('flags', 4, 'font', 'A')))) AS t(id, spans)",
-          "SELECT id, bold FROM (VALUES (1, true), (2, true), (3, false)) AS t(id, bold)")
+          "SELECT id, len(list_filter(spans, lambda s: s.flags & 16 <> 0 OR contains(s.font, 'Bold'))) > 0 AS bold FROM (VALUES (1, [{'flags': 16, 'font': 'A'}]), (2, [{'flags': 4, 'font': 'A'}, {'flags': 0, 'font': 'X-Bold'}]), (3, [{'flags': 4, 'font': 'A'}])) AS t(id, spans)")
 sql_query("clean_description", "SELECT image_id, nullif(trim(ocr_text), '') AS ocr_text, nullif(trim(vlm_description), '') AS vlm_description FROM to_description")

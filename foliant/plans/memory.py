@@ -70,7 +70,7 @@ def turn_cap(spark, d):
     return _turns(spark, d).groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.least("n", F.lit(10)).cast("long").alias("used"), F.when(F.col("n") > 10, "turn limit reached").otherwise("ok").alias("state"))
 
 
-@query("step_context", f"WITH {_T} SELECT doc_id, turn, coalesce(string_agg('step_' || turn || ': ' || left(content, 30), ' | ') OVER (PARTITION BY doc_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context FROM t WHERE role = 'assistant'")
+@query("step_context", f"WITH {_T} SELECT doc_id, turn, coalesce(string_agg('step_' || turn || ': ' || content, ' | ') OVER (PARTITION BY doc_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context FROM t WHERE role = 'assistant'")
 def step_context(spark, d):
     """Each step sees all results before it."""
     w = W.partitionBy("doc_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
@@ -78,7 +78,7 @@ def step_context(spark, d):
     return _turns(spark, d).filter("role = 'assistant'").withColumn("c", F.collect_list(x).over(w)).select("doc_id", "turn", F.array_join("c", " | ").alias("context"))
 
 
-@query("token_concat", "SELECT leaflet_key, count(*) AS n, string_agg(left(content, 1), '' ORDER BY chunk_key) AS stream FROM chunks WHERE content IS NOT NULL AND content <> '' GROUP BY leaflet_key")
+@query("token_concat", "SELECT leaflet_key, count(*) AS n, string_agg(content, '' ORDER BY chunk_key) AS stream FROM chunks WHERE content IS NOT NULL AND content <> '' GROUP BY leaflet_key")
 def token_concat(spark, d):
     """Parts of a stream in order; a stream is as long as its leaflet."""
     x = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_key", F.col("content").alias("c")))), lambda y: y["c"]), "")

@@ -7,19 +7,19 @@ from foliant.operators import resilience as R
 from foliant.registry import query, sql_query
 from foliant.session import read_table
 
-_CASES = "(VALUES (1, NULL, 'ConnectTimeout'), (2, NULL, 'ReadTimeout'), (3, NULL, 'TimeoutError'), (4, NULL, 'ConnectionError'), (5, NULL, 'ConnectionResetError'), (6, 429, NULL), (7, 504, NULL), (8, 404, NULL), (9, NULL, 'ValueError'), (10, 500, NULL), (11, NULL, 'ChunkedEncodingError')) AS c(id, status, exc)"
-_ERR = "CASE WHEN {s} IN (429, 503) THEN 'SAFE' WHEN {s} = 504 THEN 'UNKNOWN' WHEN {s} >= 500 THEN 'SAFE' WHEN {s} IS NOT NULL THEN 'NO' WHEN regexp_matches({x}, '^ConnectTimeout') THEN 'SAFE' WHEN regexp_matches({x}, 'Timeout') THEN 'UNKNOWN' WHEN regexp_matches({x}, 'Reset|BrokenPipe|Chunked') THEN 'UNKNOWN' WHEN regexp_matches({x}, 'Connection') THEN 'SAFE' ELSE 'NO' END"
+_CASES = "(VALUES (1, NULL, 'ConnectTimeout', ''), (2, NULL, 'ReadTimeout', ''), (3, NULL, 'TimeoutError', ''), (4, NULL, 'ConnectionError', ''), (5, NULL, 'ConnectionResetError', ''), (6, 429, NULL, ''), (7, 504, NULL, ''), (8, 404, NULL, ''), (9, NULL, 'ValueError', ''), (10, 500, NULL, ''), (11, NULL, 'ChunkedEncodingError', ''), (12, NULL, 'NetworkError', ''), (13, NULL, 'DnsLookupFailed', ''), (14, NULL, 'BrokenStream', ''), (15, NULL, 'apitimeouterror', ''), (16, NULL, 'OSError', 'read Timed out'), (17, NULL, 'APIConnectionError', NULL)) AS c(id, status, exc, message)"
+_ERR = "CASE WHEN {s} IN (429, 503) THEN 'SAFE' WHEN {s} = 504 THEN 'UNKNOWN' WHEN {s} >= 500 THEN 'SAFE' WHEN {s} IS NOT NULL THEN 'NO' WHEN {x} = 'ConnectTimeout' THEN 'SAFE' WHEN {x} IN ('ConnectionResetError', 'BrokenPipeError', 'ChunkedEncodingError') THEN 'UNKNOWN' WHEN regexp_matches(lower({x}), 'timeout') OR regexp_matches(lower({m}), 'timed out') THEN 'UNKNOWN' WHEN regexp_matches(lower({x}), 'connection|network|dns') THEN 'SAFE' WHEN regexp_matches(lower({x}), 'reset|broken|chunked') THEN 'UNKNOWN' ELSE 'NO' END"
 
 
-@query("error_class", f"SELECT id, {_ERR.format(s='status', x='exc')} AS class FROM {_CASES}")
+@query("error_class", f"SELECT id, {_ERR.format(s='status', x='exc', m='message')} AS class FROM {_CASES}")
 def error_class(spark, d):
-    return spark.sql(f"SELECT * FROM {_CASES}").select("id", R.error_class(F.col("status"), F.col("exc")).alias("class"))
+    return spark.sql(f"SELECT * FROM {_CASES}").select("id", R.error_class(F.col("status"), F.col("exc"), F.col("message")).alias("class"))
 
 
 _STATUS = "CASE WHEN event_type = 'error' THEN 400 + (event_id * 7) % 110 END"
 
 
-@query("event_error_class", f"SELECT event_id, {_ERR.format(s='(' + _STATUS + ')', x='event_type')} AS class FROM events WHERE event_type = 'error'")
+@query("event_error_class", f"SELECT event_id, {_ERR.format(s='(' + _STATUS + ')', x='event_type', m="''")} AS class FROM events WHERE event_type = 'error'")
 def event_error_class(spark, d):
     return read_table(spark, d, "events").filter("event_type = 'error'").select("event_id", R.error_class(F.expr(_STATUS), F.col("event_type")).alias("class"))
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliant.functions.text import HAN_RUN
 from foliant.operators import layout as L
 from foliant.operators import retrieval as R
 from foliant.plans.layout import _CHUNKS, packed_chunks
@@ -14,7 +15,7 @@ def _tok(table: str, key: str, text: str, weight: str = "1") -> str:
     """SQL of the tokens of a text: words, and the 2-4-grams of ideograph runs."""
     return f"""SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+', 0)) AS term, {weight} AS w FROM {table} WHERE {text} IS NOT NULL
  UNION ALL SELECT {key}, substr(run, i, n) AS term, {weight} AS w FROM (SELECT {key}, run, n, unnest(range(1, length(run) - n + 2)) AS i
-  FROM (SELECT {key}, run, unnest([2, 3, 4]) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[一-龥龦-鿿]+', 0)) AS run FROM {table} WHERE {text} IS NOT NULL)) WHERE length(run) >= n)"""
+  FROM (SELECT {key}, run, unnest([2, 3, 4]) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '{HAN_RUN}', 0)) AS run FROM {table} WHERE {text} IS NOT NULL)) WHERE length(run) >= n)"""
 
 
 _TF = f"tf AS (SELECT doc_id, term, count(*) AS tf FROM ({_tok('documents', 'doc_id', 'text')}) GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"

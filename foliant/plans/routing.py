@@ -64,13 +64,16 @@ def route_decision(spark, d):
     return spark.sql(f"SELECT * FROM {_IMG}").select("id", R.decision(R.rule_score(), F.col("probe_chars"), F.col("probe_conf")).alias("decision"))
 
 
-_FEAT = """f AS (SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(text)::DOUBLE AS text_ratio, (length(text) % 17) / 2.0 AS image_entropy,
- length(regexp_replace(text, '[^.,;:]', '', 'g')) / length(text)::DOUBLE AS edge_density, (length(text) * 7 % 1500)::DOUBLE AS color_variance, len(string_split(text, chr(10))) * 10 AS num_connected_components FROM documents WHERE length(text) > 0)"""
+_FEAT = """ch AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).', 0)) AS ch FROM documents WHERE length(text) > 0) GROUP BY doc_id, ch),
+ tot AS (SELECT doc_id, sum(n) AS total, sum(n * unicode(ch)::DOUBLE) / sum(n) AS mean FROM ch GROUP BY doc_id),
+ sp AS (SELECT doc_id, -sum(n / total * log2(n / total)) AS image_entropy, sum(n / total * (unicode(ch) - mean) ** 2) AS color_variance FROM ch JOIN tot USING (doc_id) GROUP BY doc_id),
+ f AS (SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(text)::DOUBLE AS text_ratio, image_entropy, length(regexp_replace(text, '[^.,;:]', '', 'g')) / length(text)::DOUBLE AS edge_density,
+  color_variance, len(string_split(text, chr(10))) * 10 AS num_connected_components FROM documents JOIN sp USING (doc_id))"""
 
 
 @query("document_rule_score", f"WITH {_FEAT} SELECT doc_id, {_SCORE} AS score FROM f")
 def document_rule_score(spark, d):
-    """The image rules on features of the documents' texts; the SQL has stand-ins for entropy and variance."""
+    """The image rules on features of the documents' texts."""
     f = read_table(spark, d, "documents").filter("length(text) > 0").withColumn("spread", R.character_spread(F.col("text"))).selectExpr(
         "doc_id", "length(regexp_replace(text, '[^A-Za-z]', '')) / double(length(text)) AS text_ratio", "spread.entropy AS image_entropy",
         "length(regexp_replace(text, '[^.,;:]', '')) / double(length(text)) AS edge_density", "spread.variance AS color_variance", "size(split(text, '\\n')) * 10 AS num_connected_components")

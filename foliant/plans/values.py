@@ -45,12 +45,15 @@ sql_query("bullets", f"SELECT id, array_join(filter(transform(split(t, '\\n'), x
 sql_query("rule_check", "SELECT id, CASE WHEN contains(task, '21+21') THEN contains(output, '42') AND output rlike '(=|is|为) ?42' ELSE true END AS passed FROM (VALUES (1, 'compute 21+21', 'the sum is 42'), (2, 'compute 21+21', '43'), (3, 'other', 'x'), (4, '21+21', '42')) AS t(id, task, output)",
           "SELECT id, CASE WHEN contains(task, '21+21') THEN contains(output, '42') AND regexp_matches(output, '(=|is|为) ?42') ELSE true END AS passed FROM (VALUES (1, 'compute 21+21', 'the sum is 42'), (2, 'compute 21+21', '43'), (3, 'other', 'x'), (4, '21+21', '42')) AS t(id, task, output)")
 sql_query("calc_ops", "SELECT a, b, op, CASE op WHEN 'add' THEN a + b WHEN 'sub' THEN a - b WHEN 'mul' THEN a * b WHEN 'div' THEN CASE WHEN b <> 0 THEN a / b END END AS v, CASE WHEN op = 'div' AND b = 0 THEN 'division by zero' WHEN op NOT IN ('add', 'sub', 'mul', 'div') THEN 'VALIDATION_ERROR' END AS error FROM (VALUES (CAST(6 AS DOUBLE), CAST(3 AS DOUBLE)), (CAST(1 AS DOUBLE), CAST(0 AS DOUBLE))) AS x(a, b), (VALUES ('add'), ('sub'), ('mul'), ('div'), ('mod')) AS o(op)")
-_E = "(VALUES (1, '2 + 3 * 4'), (2, '-(7 // 2)'), (3, '2 ** 10 % 7'), (4, '1 / 0'), (5, '__import__(1)'), (6, '-7 % 3')) AS e(id, t)"
+_M = "(event_id % 7)"
 
 
-@query("calc_expr", f"SELECT id, CASE id WHEN 1 THEN '14' WHEN 2 THEN '-3' WHEN 3 THEN '2' WHEN 4 THEN 'error: ZeroDivisionError' WHEN 5 THEN 'error: ValueError' ELSE '2' END AS v FROM {_E}")
+@query("calc_expr", f"""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'error: ZeroDivisionError' WHEN event_id % 13 = 0 THEN 'error: ValueError'
+ ELSE CAST(event_id + user_id * 3 - ((CAST(floor((5 - {_M}) / 4.0) AS BIGINT) % 5) + 5) % 5 + CAST(pow(2, {_M}) AS BIGINT) * -(event_id // 10 - 3) AS VARCHAR) END AS v FROM events""")
 def calc_expr(spark, d):
-    return spark.sql(f"SELECT * FROM {_E}").select("id", S.evaluate_udf("t").alias("v"))
+    """Arithmetic texts made of the event's numbers; some divide by zero, some are no arithmetic."""
+    text = f"CASE WHEN event_id % 11 = 0 THEN concat(event_id, ' / (', {_M}, ' - ', {_M}, ')') WHEN event_id % 13 = 0 THEN concat('__import__(', event_id, ')') ELSE concat(event_id, '+', user_id, ' * 3 - (5 - ', {_M}, ') // 4 % 5 + 2 ** ', {_M}, ' * -(', event_id, '//10-3)') END"
+    return read_table(spark, d, "events").select("event_id", S.evaluate_udf(F.expr(text)).alias("v"))
 
 
 sql_query("time_zone", "SELECT event_id, date_format(from_utc_timestamp(CAST(ts AS TIMESTAMP), 'Asia/Shanghai'), 'yyyy-MM-dd HH:mm:ss') AS local FROM events",
@@ -67,15 +70,26 @@ sql_query("sparse_cast", "SELECT event_id, element_at(transform_values(from_json
 _ENV = "(VALUES (1, 'A=1'), (2, '# c'), (3, 'B=\"x=y\"'), (4, 'plain'), (5, ' C = z '), (6, 'D=abc')) AS e(n, line)"
 sql_query("dotenv_parse", f"""SELECT trim(substring_index(line, '=', 1)) AS k, trim(BOTH '"' FROM trim(substr(line, instr(line, '=') + 1))) AS v, coalesce(try_cast(trim(substr(line, instr(line, '=') + 1)) AS INT), 7) AS as_int FROM {_ENV} WHERE line LIKE '%=%' AND NOT startswith(trim(line), '#')""",
           f"""SELECT trim(string_split(line, '=')[1]) AS k, trim(trim(substr(line, instr(line, '=') + 1)), '"') AS v, coalesce(TRY_CAST(trim(substr(line, instr(line, '=') + 1)) AS INT), 7) AS as_int FROM {_ENV} WHERE line LIKE '%=%' AND NOT starts_with(trim(line), '#')""")
-_ROWS = "(VALUES (1, array(array('a', 'b|c'), array('1'), array(NULL, 'x\\ny', 'z')))) AS t(id, r)"
+# Rows of the tables in the chunks: cells with outer blanks, pipes and line breaks, null cells, ragged rows.
+_TABLE = r"transform(filter(split(content, '\\n'), l -> startswith(l, '|') AND NOT startswith(l, '| ---')), (l, i) -> transform(split(substr(l, 3, length(l) - 4), ' [|] '), (c, j) -> CASE WHEN c = '' THEN NULL WHEN (i + j) % 9 = 0 THEN concat(' ', c, '|x\ny ') ELSE c END))"
+_DUCK_TABLE = """(SELECT chunk_key, list_transform(list_filter(string_split(content, chr(10)), lambda l: starts_with(l, '|') AND NOT starts_with(l, '| ---')), lambda l, i: list_transform(string_split(l[3:-3], ' | '), lambda c, j: CASE WHEN c = '' THEN NULL WHEN (i + j - 2) % 9 = 0 THEN ' ' || c || '|x' || chr(10) || 'y ' ELSE c END)) AS r FROM chunks WHERE type = 'table')"""
 
 
-@query("markdown_table", "SELECT 1 AS id, '| a | b\\|c |  |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| 1 |  |  |' || chr(10) || '|  | x<br>y | z |' AS md")
+def _rows(spark, d):
+    t = read_table(spark, d, "chunks").filter("type = 'table'").select("chunk_key", F.expr(_TABLE).alias("r"))
+    return t.withColumn("r", F.transform("r", lambda x, i: F.when(i == 1, F.slice(x, 1, 1)).otherwise(x)))
+
+
+_RAGGED = f"(SELECT chunk_key, list_transform(r, lambda x, i: CASE WHEN i = 2 THEN x[1:1] ELSE x END) AS r FROM {_DUCK_TABLE})"
+
+
+@query("markdown_table", f"""WITH t AS (SELECT chunk_key, r, list_max(list_transform(r, lambda x: len(x))) AS w FROM {_RAGGED}),
+ l AS (SELECT chunk_key, w, list_transform(r, lambda x: '| ' || array_to_string(list_transform(range(1, w + 1), lambda k: coalesce(replace(replace(trim(x[k]), chr(10), '<br>'), '|', '\\|'), '')), ' | ') || ' |') AS s FROM t)
+ SELECT chunk_key, array_to_string(list_concat([s[1], '| ' || array_to_string(list_transform(range(w), lambda k: '---'), ' | ') || ' |'], s[2:]), chr(10)) AS md FROM l""")
 def markdown_table(spark, d):
-    return spark.sql(f"SELECT * FROM {_ROWS}").select("id", T.markdown_table(F.col("r")).alias("md"))
+    return _rows(spark, d).select("chunk_key", T.markdown_table(F.col("r")).alias("md"))
 
 
-@query("norm_rows", "SELECT id, r FROM (VALUES (1, 'a|b|c'), (2, '1'), (3, '|xy|z')) AS t(id, r)")
+@query("norm_rows", f"SELECT chunk_key, array_to_string(list_transform(r, lambda x: array_to_string(list_transform(x, lambda c: trim(replace(coalesce(c, ''), chr(10), ''))), '|')), '/') AS r FROM {_RAGGED}")
 def norm_rows(spark, d):
-    r = spark.sql("SELECT * FROM (VALUES (1, array('a', 'b|c')), (2, array('1')), (3, array(NULL, 'x\\ny', 'z '))) AS t(id, r)")
-    return r.select("id", T.norm_row(F.col("r")).alias("r"))
+    return _rows(spark, d).select("chunk_key", F.array_join(F.transform("r", T.norm_row), "/").alias("r"))

@@ -17,6 +17,7 @@ def build_session(app: str = "foliant", master: str | None = None, shuffle_parti
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -53,13 +54,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; only where none is set (tests) a local one is chosen."""
+    """The shared folder named by the cluster; only on one machine, where none is set (tests), a local one is chosen."""
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    path = path or os.path.join("/tmp", f"foliant-checkpoint-{uuid.uuid4().hex}")
+    if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder; a cluster's executors cannot share a machine's own")
+        path = os.path.join(tempfile.gettempdir(), f"foliant-checkpoint-{uuid.uuid4().hex}")
     sc.setCheckpointDir(path)
     return path
 

@@ -1,5 +1,6 @@
 """Decision tables, folds against plain Python, and interfaces."""
 import datetime as dt
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -7,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foliant.functions import scalars
-from foliant.operators import geometry, layout, models, resilience, retrieval, sinks
+from foliant.operators import fragments, geometry, layout, models, resilience, retrieval, sinks
 from foliant.sources import newest_files, read_env, read_files, read_layout
 
 
@@ -23,15 +24,84 @@ def test_error_classes(spark):
     from foliant.plans.resilience import error_class
 
     got = [r["class"] for r in error_class(spark, "").orderBy("id").collect()]
-    assert got == ["SAFE", "UNKNOWN", "UNKNOWN", "SAFE", "UNKNOWN", "SAFE", "UNKNOWN", "NO", "NO", "SAFE", "UNKNOWN"]
+    assert got == ["SAFE", "UNKNOWN", "UNKNOWN", "SAFE", "UNKNOWN", "SAFE", "UNKNOWN", "NO", "NO", "SAFE", "UNKNOWN", "SAFE", "SAFE", "UNKNOWN", "UNKNOWN", "UNKNOWN", "SAFE"]
+
+
+def captions_one_by_one(elements):
+    """The rule read element by element; waits: (caption, is it a figure's, has it found one)."""
+    out, waits = [], None
+
+    def end():
+        nonlocal waits
+        if waits and not waits[2]:
+            out.append(["paragraph", waits[0][2], waits[0][3], None])
+        waits = None
+
+    for e in elements:
+        _, kind, text, page, y0 = e
+        if kind == "caption":
+            end()
+            if text.startswith("图") and out and out[-1][0] == "figure" and out[-1][3] is None:
+                out[-1][3] = text
+            else:
+                waits = [e, text.startswith("图"), False]
+            continue
+        row = [kind, text, page, None]
+        if waits and not waits[1]:
+            if kind in ("table", "figure"):
+                row[3], waits = waits[0][2], None
+            else:
+                end()
+        elif waits and kind == "table":
+            end()
+        elif waits and kind == "figure":
+            c = waits[0]
+            if (page == c[3] and y0 >= c[4] - 1) or page == c[3] + 1:
+                row[3], waits[2] = c[2], True
+        out.append(row)
+    end()
+    return [tuple(r) for r in out]
 
 
 def test_captions(spark):
-    from foliant.plans.joins import caption_attach
-
-    got = {(r.doc_id, r.pos): (r.kind, r.caption) for r in caption_attach(spark, "").collect()}
-    assert got[("a", 0)] == ("figure", "图 4 曲线") and got[("a", 2)] == ("figure", "图 4 曲线") and got[("a", 3)] == ("table", None)
-    assert got[("b", 0)] == ("figure", "图 1") and got[("b", 1)][0] == "paragraph" and got[("b", 3)] == ("table", "表 3")
+    rng, rows, want = random.Random(1), [], {}
+    docs = {d: [] for d in range(300)}
+    for d in docs:
+        page = 1
+        for i in range(rng.randint(1, 14)):
+            page += rng.random() < 0.25
+            kind = rng.choice(["caption", "caption", "figure", "figure", "table", "paragraph"])
+            docs[d].append((i, kind, rng.choice(["图 1", "图2 x", "表 3", "表4"]) if kind == "caption" else kind, page, float(rng.randint(0, 6))))
+    docs[900] = [(1, "caption", "图 4 曲线", 1, 10.0), (2, "figure", "f", 1, 20.0), (3, "paragraph", "A) x", 1, 40.0), (4, "figure", "g", 2, 5.0), (5, "table", "t", 2, 50.0)]
+    for d, v in docs.items():
+        rows += [(d, *e) for e in v]
+        want[d] = captions_one_by_one(v)
+    got = {}
+    df = spark.createDataFrame(rows, "doc_id int, seq int, kind string, text string, page int, y0 double").withColumn("win", F.lit("clash"))
+    for r in geometry.attach_captions(df, "doc_id").orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append((r.kind, r.text, r.page, r.caption))
+    assert got == want and [r[3] for r in got[900]] == ["图 4 曲线", None, "图 4 曲线", None]
+    assert geometry.attach_captions(df.limit(0), "doc_id").count() == 0
+
+
+def test_table_fragments(spark):
+    t = lambda d, seq, page, *rows: (d, seq, "table", page, page, [list(r) for r in rows])
+    rows = [
+        ("a", 1, "caption", 1, 1, None), t("a", 2, 1, ["h1", "h2"], ["1", "2"]), t("a", 3, 2, ["h1", "h2", "h3", "h4", "h5"]), t("a", 4, 3, ["h1", "h2"], ["3", "4"]),
+        t("b", 1, 1, ["x"], ["y"]), t("b", 2, 2, ["x"]), ("b", 3, "paragraph", 2, 2, None), t("b", 4, 2, ["x"]), t("b", 5, 4, ["x"]), ("c", 1, "table", 1, 1, None), t("c", 2, 1, [None, " q\n"]), t("c", 3, 1, ["", "q"], ["r", None]),
+    ]
+    df = spark.createDataFrame(rows, "doc_id string, seq int, kind string, page int, page_end int, rows array<array<string>>").withColumn("run", F.lit("clash"))
+    got = [tuple(r) for r in fragments.merge_tables(df, "doc_id").orderBy("doc_id", "pos").collect()]
+    # below a caption fragments of other widths go on as long as there are three rows at most
+    assert got == [("a", 0, "caption", 1, 1, 0, 1), ("a", 1, "table", 1, 3, 4, 3), ("b", 0, "table", 1, 2, 2, 1), ("b", 1, "paragraph", 2, 2, 0, 1), ("b", 2, "table", 2, 2, 1, 1),
+                   ("b", 3, "table", 4, 4, 1, 1), ("c", 0, "table", 1, 1, 0, 1), ("c", 1, "table", 1, 1, 2, 2)]
+    assert fragments.merge_tables(df.limit(0), "doc_id").count() == 0
+
+
+def test_longest_prefix_keeps_repeated_rows(spark):
+    items = spark.createDataFrame([("my_api_x",), ("my_api_x",), ("z",), (None,)], "name string")
+    got = retrieval.longest_prefix(items, "name", spark.createDataFrame([("my",), ("my_api",), ("my",)], "server string"), "server").collect()
+    assert sorted((str(r.name), str(r.server)) for r in got) == [("None", "None"), ("my_api_x", "my_api"), ("my_api_x", "my_api"), ("z", "None")]
 
 
 def plain_pack(lengths, limit):
@@ -95,7 +165,7 @@ def test_overlap(spark):
     assert geometry.overlap_ratio("a", "b") is not None
 
 
-@pytest.mark.parametrize("text,value", [("2+3*4", "14"), ("-7//2", "-4"), ("2**1000", "error: ValueError"), ("a", "error: ValueError"), ("(1", "error: SyntaxError"), (None, None)])
+@pytest.mark.parametrize("text,value", [("2+3*4", "14"), ("-7//2", "-4"), ("2**1000", "error: ValueError"), ("a", "error: ValueError"), ("(1", "error: SyntaxError"), ("-2**2", "-4"), ("2**3**2", "512"), ("2**-1", "0.5"), ("1 2", "error: SyntaxError"), ("(" * 5000, "error: ValueError"), ("1e3+.5", "1000.5"), (None, None)])
 def test_calculator(text, value):
     assert scalars.evaluate(text) == value
 
@@ -147,7 +217,7 @@ def test_registry(spark):
     reg = Registry([Tool("divide", divide, {"a": "number", "b": "number"}, ("a", "b")), Tool("charge", lambda: 1, idempotent=False)])
     calls = spark.createDataFrame([(1, "divide", '{"a": 6, "b": 3}'), (2, "divide", '{"a": 6'), (3, "nosuch", "{}"), (4, "divide", '{"a": "x", "b": 1}'), (5, "divide", '{"a": 1, "b": 0}'), (6, "charge", "{}"), (7, "divide", None)], "id int, name string, args string")
     got = {r.id: (r.code, r.result) for r in reg.calls(calls, "id", "name", "args").collect()}
-    assert got == {1: (None, "2.0"), 2: ("INVALID_JSON", None), 3: ("UNKNOWN_TOOL", None), 4: ("VALIDATION_ERROR", None), 5: ("EXECUTION_ERROR", None), 6: ("BLOCKED_WRITE", None), 7: ("INVALID_JSON", None)}
+    assert got == {1: (None, "2.0"), 2: ("INVALID_JSON", None), 3: ("UNKNOWN_TOOL", None), 4: ("VALIDATION_ERROR", None), 5: ("EXECUTION_ERROR", None), 6: ("BLOCKED_WRITE", None), 7: ("VALIDATION_ERROR", None)}
     assert reg.catalogue(spark).count() == 2
     assert attempts_allowed(["SAFE"] * 9, True) == (3, False, 3.0) and attempts_allowed(["SAFE"] * 9, False) == (4, False, 7.0)
     assert attempts_allowed(["UNKNOWN"], False) == (1, True, 0.0) and attempts_allowed(["NO"], True) == (1, False, 0.0) and attempts_allowed(["SAFE", None], True) == (2, False, 1.0)
