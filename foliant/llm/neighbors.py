@@ -1,19 +1,28 @@
 """The k most similar vectors of every vector by adaptive dimension scan (problem 2).
 
-Index: spherical k-means centroids fitted on a bounded sample (``sample_rows``, the rows with the
-smallest hash), every usable row is indexed. Lists are grouped into balanced blocks, one task each;
-a vector travels once in full to the block of its own list and once in half precision to each other
-block that holds one of its probed lists. Vectors are rotated by a random orthogonal matrix and
-scanned in column blocks: after each block a hypothesis test compares the partial distance, scaled
-by 64/d, with the query's threshold and abandons the candidate; few survivors go on as pairs, many
-as a dense block. The threshold is the k-th best so far, or ``min_sim`` where only near vectors count.
-
-Copies of a vector are brought to one row per input partition before the shuffle and to one per
-block after it; their ids come back by a join on the vector's digest, so a vector that a third of
-the rows repeat costs one search.
+Index: spherical k-means cells fitted on a bounded sample (``SAMPLE_ROWS``, the rows with the smallest
+hash), every usable row is indexed. Cells are grouped into balanced blocks, one task each; within its
+block a cell of many rows is cut into lists of about ``LIST_ROWS`` by a second k-means, so lists stay
+short however large the table is. A cell that alone is more than a block is spread over several blocks
+by digest, and all of them are asked. A vector travels to the block of its own cell and, as a query,
+once to each other block that holds a cell it probes. With ``min_sim`` a cell is probed only if the
+border towards it is within reach: the step from a vector to a neighbour is at most sqrt(2 - 2 min_sim)
+long and, along a given direction, about an eighth of that (``REACH`` standard deviations are allowed,
+and a pair is found from either side).
+
+Vectors are rotated by a random orthogonal matrix and scanned in column blocks: after each block a
+hypothesis test compares the partial distance, scaled by 64/d, with the query's threshold and abandons
+the candidate; few survivors go on as pairs, many as a dense block. The threshold is the k-th best so
+far, or ``min_sim`` where only near vectors count. What is left is scored in double precision on the
+vectors as stored.
+
+Exact copies of a vector are brought to one row per input partition before the shuffle and to one per
+block after it; their ids come back by a join on the vector's 128-bit digest, at most k + 1 of them
+where they are neighbours, so a vector that a third of the rows repeat costs one search.
 
 Defined results: vectors that are null, empty, of another length, all zero or not finite take no
-part; the own row is never a neighbour; ties go to the smaller id; fewer than k others give fewer rows.
+part; the own row is never a neighbour; among copies ties (in six digits) go to the smaller id, among
+different vectors at the k-th place to any; fewer than k others give fewer rows.
 """
 from __future__ import annotations
 
@@ -33,14 +42,16 @@ DIM = 64
 COLUMNS = 16
 LIST_ROWS = 256
 BLOCK_ROWS = 65_536
+TASK_ROWS = 20_000  # rows of a block as long as there are few blocks
 SAMPLE_ROWS = 65_536
+MAX_CELLS = SAMPLE_ROWS // 4  # what the sample can tell apart; cells that hold more rows are cut into lists by their task
 EPSILON = 2.1  # of the hypothesis test
-MAX_LISTS = 16_384
-ALL = b"*"  # instead of list numbers: every list of the block
+REACH = 1.75
+FULL_BLOCKS, FULL_ROWS = 200, 1_000_000  # blocks, or rows of a block, where every list is probed
 
 
 def _matrix(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of usable vectors and the vectors, of unit length."""
+    """Positions of usable vectors and the vectors as stored."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     off = col.offsets.to_numpy()
@@ -49,16 +60,42 @@ def _matrix(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(ok):
         return ok, np.zeros((0, dim), np.float32)
     v = col.values.to_numpy(zero_copy_only=False)
-    x = v[off[ok][:, None] + np.arange(dim)].astype(np.float64)
-    norm = np.sqrt((x * x).sum(1))
+    x = v[off[ok][:, None] + np.arange(dim)].astype(np.float32)
+    with np.errstate(over="ignore", invalid="ignore"):
+        norm = np.sqrt((x.astype(np.float64) ** 2).sum(1))
     good = np.isfinite(norm) & (norm > 0)
-    return ok[good], (x[good] / norm[good, None]).astype(np.float32)
+    return ok[good], x[good] + np.float32(0)
 
 
-def _digests(x: np.ndarray) -> np.ndarray:
-    """One number for vectors of the same direction, up to rounding."""
-    r = np.round(x, 5) + 0.0
-    return np.array([xxhash.xxh3_64_intdigest(v.tobytes()) for v in r], np.uint64).view(np.int64)
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Of unit length, in double precision; the largest number is divided out first, so nothing overflows."""
+    y = x.astype(np.float64)
+    if len(y):
+        y /= np.abs(y).max(1, keepdims=True)
+        y /= np.sqrt((y * y).sum(1, keepdims=True))
+    return y
+
+
+def _digests(x: np.ndarray) -> list[bytes]:
+    return [xxhash.xxh3_128_digest(v) for v in np.ascontiguousarray(x)]
+
+
+def _binary(values: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Binary array whose items are the next ``length`` bytes of the values."""
+    off = np.zeros(len(length) + 1, np.int32)
+    np.cumsum(length, out=off[1:])
+    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _bytes_of(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a binary column."""
+    c = col.combine_chunks()
+    if isinstance(c, pa.ChunkedArray):
+        c = c.chunk(0) if c.num_chunks else pa.array([], pa.binary())
+    _, off, data = c.buffers()
+    off = np.frombuffer(off, np.int32)[c.offset : c.offset + len(c) + 1] if off is not None and len(c) else np.zeros(1, np.int32)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return off - off[0], data[off[0] : off[-1]]
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -177,139 +214,224 @@ def best(out_q: list, out_b: list, out_s: list, k: int) -> tuple[np.ndarray, np.
     return q[rank < k], b[rank < k], s[rank < k]
 
 
+def probed(sim: np.ndarray, near: np.ndarray, cents: np.ndarray, home: np.ndarray, min_sim: float | None) -> np.ndarray:
+    """Which of the ``near`` cells of each row are looked into: all, or those whose border is within reach."""
+    if min_sim is None:
+        return np.ones(near.shape, bool)
+    reach = REACH * math.sqrt(max(2 - 2 * min_sim, 0.0) / cents.shape[1])
+    own = np.take_along_axis(sim, home[:, None], 1)
+    apart = np.sqrt(np.maximum(2 - 2 * np.einsum("nkd,nd->nk", cents[near], cents[home]), 1e-9))
+    return (own - np.take_along_axis(sim, near, 1) <= reach * apart) | (near == home[:, None])
+
+
+def _closest(x: np.ndarray, cents: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(similarity to all, closest, the n closest in order) of each row."""
+    sim = x @ cents.T
+    near = np.argpartition(-sim, n - 1, axis=1)[:, :n] if n < sim.shape[1] else np.tile(np.arange(sim.shape[1]), (len(sim), 1))
+    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sim, near, 1), axis=1, kind="stable"), 1)
+    return sim, sim.argmax(1), near
+
+
+def split_cells(base: np.ndarray, cell: np.ndarray, query: np.ndarray, pair_q: np.ndarray, pair_c: np.ndarray, probes: int, min_sim: float | None):
+    """Cuts cells of many rows into lists: (list of each base row, pairs of query and list); other cells are one list each."""
+    lists = np.full(len(base), -1)
+    out_q, out_l, n = [], [], 0
+    o, po = np.argsort(cell, kind="stable"), np.argsort(pair_c, kind="stable")
+    u, at = np.unique(cell[o], return_index=True)
+    at = np.r_[at, len(o)]
+    lo, hi = np.searchsorted(pair_c[po], u), np.searchsorted(pair_c[po], u, side="right")
+    for i in range(len(u)):
+        rows, qs = o[at[i] : at[i + 1]], pair_q[po[lo[i] : hi[i]]]
+        if len(rows) <= 4 * LIST_ROWS:
+            lists[rows] = n
+            out_q.append(qs)
+            out_l.append(np.full(len(qs), n))
+            n += 1
+            continue
+        some = rows[:: max(1, len(rows) // (64 * (len(rows) // LIST_ROWS)) or 1)]
+        cents = fit_centroids(base[some], len(rows) // LIST_ROWS, rounds=4)
+        for c in range(0, len(rows), 8192):
+            lists[rows[c : c + 8192]] = n + (base[rows[c : c + 8192]] @ cents.T).argmax(1)
+        for c in range(0, len(qs), 4096):
+            sim, own, near = _closest(query[qs[c : c + 4096]], cents, min(2 * probes, len(cents)))
+            keep = probed(sim, near, cents, own, min_sim)
+            r, k = np.nonzero(keep)
+            out_q.append(qs[c : c + 4096][r])
+            out_l.append(n + near[r, k])
+        n += len(cents)
+    return lists, np.concatenate(out_q) if out_q else np.zeros(0, int), np.concatenate(out_l) if out_l else np.zeros(0, int), n
+
+
 def nearest(
     df: DataFrame, key: str, vector: str, k: int = 10, probes: int | None = 12, min_sim: float | None = None,
     query_filter: str | None = None, dim: int = DIM, sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """(vec_id, neighbor, similarity): up to k nearest others of each query row by cosine.
 
-    ``probes`` lists are looked into for each query, None means all of them (for a small query set);
+    At most ``probes`` cells are looked into for each query, None means all of them (for a small query set);
     ``query_filter`` is a SQL condition on the key.
     """
     spark = df.sparkSession
     src = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"))
     usable = src.filter(F.size("v") == dim)
     total = usable.count()
-    lists = min(MAX_LISTS, max(1, total // LIST_ROWS))
-    blocks = max(min(12, max(1, total // 4096)), math.ceil(total / BLOCK_ROWS))
-    want = min(sample_rows, 32 * lists)
+    cells = min(MAX_CELLS, max(1, total // LIST_ROWS))
+    want = min(sample_rows, 32 * cells)
     share = min(1.0, 1.3 * want / max(total, 1))
     sample = usable.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").limit(2 * want).toArrow()
-    _, x = _matrix(sample.column("v"), dim)
+    x = _unit(_matrix(sample.column("v"), dim)[1]).astype(np.float32)
     turn = rotation(dim)
-    cents = fit_centroids(x @ turn, lists)
-    weight = np.bincount((x @ turn @ cents.T).argmax(1), minlength=len(cents)) + 1.0 if len(x) else np.ones(len(cents))
-    block_of = group_lists(cents, weight, blocks)
-    shared = spark.sparkContext.broadcast((cents, block_of, turn))  # at most MAX_LISTS x dim floats
-    probe_n = len(cents) if probes is None else min(probes, len(cents))
-    is_query = F.lit(True) if query_filter is None else F.expr(query_filter)
+    x = x @ turn
+    cents = fit_centroids(x, cells)
+    weight = np.ones(len(cents))
+    for i in range(0, len(x), 4096):
+        weight += np.bincount((x[i : i + 4096] @ cents.T).argmax(1), minlength=len(cents))
+    rows = weight * total / weight.sum()  # expected in each cell
+    parts = np.maximum(1, np.ceil(rows / (2 * BLOCK_ROWS))).astype(np.int32)
+    blocks = max(min(12, max(1, total // TASK_ROWS)), math.ceil(total / BLOCK_ROWS))
+    if probes is None:  # every query goes to every block
+        blocks = min(blocks, max(FULL_BLOCKS, math.ceil(total / FULL_ROWS)))
+        parts[:] = 1
+    block_of = group_lists(cents, np.where(parts > 1, 1e-9, weight), blocks)
+    first = blocks + np.cumsum(np.r_[0, parts[parts > 1]])  # cells larger than a block get blocks of their own
+    block_of[parts > 1] = first[:-1]
+    n_blocks = int(first[-1])
+    shared = spark.sparkContext.broadcast((cents, block_of, parts, turn))  # at most MAX_CELLS x dim floats
+    probe_n = min(probes or 1, len(cents))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cents, block_of, turn = shared.value
-        seen: set[int] = set()
-        for b in batches:
-            ok, x = _matrix(b.column(1), dim)
+        cents, block_of, parts, turn = shared.value
+        seen: set[bytes] = set()
+        for batch in batches:
+            ok, raw = _matrix(batch.column(1), dim)
             if not len(ok):
                 continue
-            digest = _digests(x)
-            x = x @ turn
-            asked = np.asarray(b.column(2))[ok]
-            fresh = np.array([not (d in seen or seen.add(d)) for d in zip(digest.tolist(), asked.tolist())], bool)
-            full, near = [], []
+            digest = _digests(raw)
+            asked = np.asarray(batch.column(2))[ok]
+            fresh = np.array([not ((d, a) in seen or seen.add((d, a))) for d, a in zip(digest, asked.tolist())], bool)
+            if not fresh.any():
+                continue
+            at = np.flatnonzero(fresh)
+            raw, asked = raw[at], asked[at]
+            ids = np.frombuffer(b"".join(digest[i] for i in at), np.uint8).reshape(-1, 16)
+            salt = ids[:, 0].astype(np.int32) << 16 | ids[:, 1].astype(np.int32) << 8 | ids[:, 2]
+            x = (_unit(raw) @ turn).astype(np.float32)
             for a in range(0, len(x), 4096):
-                sim = x[a : a + 4096] @ cents.T
-                full.append(sim.argmax(1))
-                if probes is None:
-                    continue
-                p = np.argpartition(-sim, min(probe_n, sim.shape[1] - 1), axis=1)[:, :probe_n] if probe_n < sim.shape[1] else np.tile(np.arange(sim.shape[1]), (len(sim), 1))
-                near.append(np.take_along_axis(p, np.argsort(-np.take_along_axis(sim, p, 1), axis=1, kind="stable"), 1).astype(np.int32))
-            home = np.concatenate(full)
-            near = np.concatenate(near) if probes is not None else None
-            rows: list[tuple] = []
-            half = x.astype(np.float16)
-            nb = block_of[near] if near is not None else None
-            every = np.unique(block_of)
-            for r in np.flatnonzero(fresh):
-                own, ask = int(block_of[home[r]]), bool(asked[r])
-                rows.append((own, int(digest[r]), int(home[r]), (ALL if nb is None else near[r][nb[r] == own].tobytes()) if ask else b"", x[r].tobytes()))
-                if ask:
-                    for o in every if nb is None else np.unique(nb[r]):
-                        if o != own:
-                            rows.append((int(o), int(digest[r]), -1, ALL if nb is None else near[r][nb[r] == o].tobytes(), half[r].tobytes()))
-            if rows:
+                y = x[a : a + 4096]
+                sim, home, near = _closest(y, cents, probe_n)
+                keep = probed(sim, near, cents, home, min_sim) & asked[a : a + 4096, None]
+                r, j = np.nonzero(keep)
+                cell = near[r, j]
+                r, cell = np.repeat(r, parts[cell]), np.repeat(cell, parts[cell])
+                one = np.r_[True, (r[1:] != r[:-1]) | (cell[1:] != cell[:-1])] if len(r) else np.zeros(0, bool)
+                nth = np.arange(len(r)) - np.maximum.accumulate(np.where(one, np.arange(len(r)), 0)) if len(r) else r
+                block = block_of[cell] + nth
+                if probes is None:  # cell 0 stands for all cells of the block
+                    some = np.flatnonzero(asked[a : a + 4096])
+                    r, block, cell = np.repeat(some, n_blocks), np.tile(np.arange(n_blocks), len(some)), np.zeros(len(some) * n_blocks, np.int64)
+                own = block_of[home] + salt[a : a + 4096] % parts[home]
+                # one row per (vector, block); the own block's row comes even without a probe
+                r2, b2, c2 = np.r_[np.arange(len(y)), r], np.r_[own, block], np.r_[np.full(len(y), -1), cell]
+                o = np.lexsort((c2, b2, r2))
+                r2, b2, c2 = r2[o], b2[o], c2[o].astype(np.int32)
+                begin = np.flatnonzero(np.r_[True, (r2[1:] != r2[:-1]) | (b2[1:] != b2[:-1])])
+                row, blk = r2[begin], b2[begin]
+                real = c2 >= 0
+                many = np.add.reduceat(real.astype(np.int32), begin) * 4
+                mine = blk == own[row]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
+                    [pa.array(blk.astype(np.int32)), _binary(ids[a : a + 4096][row], np.full(len(row), 16)), pa.array(np.where(mine, home[row], -1).astype(np.int32)),
+                     _binary(c2[real], many), _binary(raw[a : a + 4096][row], np.full(len(row), 4 * dim))],
                     names=["block", "digest", "home", "probe", "vec"],
                 )
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok, x = _matrix(b.column(1), dim)
-            yield pa.RecordBatch.from_arrays([pa.array(_digests(x), pa.int64()), b.column(0).take(pa.array(ok))], names=["digest", "vec_id"])
-
-    def search(table: pa.Table) -> pa.Table:
-        digest, home = table.column("digest").to_numpy(), table.column("home").to_numpy()
-        probe, vec = table.column("probe").to_pylist(), table.column("vec").to_pylist()
-        is_base = home >= 0
-        at = np.flatnonzero(is_base)
-        at = at[np.unique(digest[at], return_index=True)[1]]
-        at = at[np.argsort(home[at], kind="stable")]
-        base = np.frombuffer(b"".join(vec[i] for i in at), np.float32).reshape(-1, dim)
-        n_lists = int(max(home.max(initial=0), max((int(np.frombuffer(p, np.int32).max()) for p in probe if p and p != ALL), default=0))) + 1
-        start = np.searchsorted(home[at], np.arange(n_lists + 1))
-        ask = np.array([i for i, p in enumerate(probe) if p], int)
-        ask = ask[np.unique(digest[ask], return_index=True)[1]] if len(ask) else ask
+            yield pa.RecordBatch.from_arrays([pa.array(_digests(x), pa.binary()), b.column(0).take(pa.array(ok))], names=["digest", "vec_id"])
+
+    def search(table: pa.Table) -> pa.Table | None:
+        turn = shared.value[3]
+        home = table.column("home").to_numpy()
+        ids = _bytes_of(table.column("digest"))[1].reshape(-1, 16)
+        raw = _bytes_of(table.column("vec"))[1].view(np.float32).reshape(-1, dim)
+        off, probe = _bytes_of(table.column("probe"))
+        number = np.unique(np.ascontiguousarray(ids).view("V16").ravel(), return_inverse=True)[1].ravel()  # of each different vector
+        at = np.flatnonzero(home >= 0)
+        at = at[np.unique(number[at], return_index=True)[1]]
+        ask = np.flatnonzero(np.diff(off) > 0)
+        ask = ask[np.unique(number[ask], return_index=True)[1]]
         if not len(ask) or not len(at):
-            return pa.table({"q": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "s": pa.array([], pa.float32())})
-        query = np.stack([np.frombuffer(vec[i], np.float32 if len(vec[i]) == 4 * dim else np.float16).astype(np.float32) for i in ask])
-        held = np.unique(home[at])
-        lists_of = [held if probe[i] == ALL else np.frombuffer(probe[i], np.int32) for i in ask]
-        pair_q = np.repeat(np.arange(len(ask)), [len(p) for p in lists_of])
-        q, b, s = scan_lists(base, start, query, pair_q, np.concatenate(lists_of), k, min_sim)
-        qd, bd = digest[ask][q], digest[at][b]
-        other = qd != bd
-        return pa.table({"q": pa.array(qd[other]), "b": pa.array(bd[other]), "s": pa.array(s[other].astype(np.float32))})
-
-    placed = src.select("vec_id", "v", is_query.alias("asked")) if query_filter is None else src.select("vec_id", "v", F.coalesce(F.expr(query_filter.replace(key, "vec_id")), F.lit(False)).alias("asked"))
-    routed = placed.mapInArrow(place, "block int, digest long, home int, probe binary, vec binary")
+            return None
+        exact_b, exact_q = _unit(raw[at]), _unit(raw[ask])
+        base, query = (exact_b @ turn).astype(np.float32), (exact_q @ turn).astype(np.float32)
+        cells_of = probe.view(np.int32)
+        pair_q = np.repeat(np.arange(len(ask)), np.diff(off)[ask] // 4)
+        pair_c = np.concatenate([cells_of[off[i] // 4 : off[i + 1] // 4] for i in ask])
+        if probes is None:
+            _, lists = np.unique(home[at], return_inverse=True)
+            n = int(lists.max()) + 1
+            near = _closest(query, np.stack([base[lists == i].mean(0) for i in range(n)]), n)[2]
+            pair_q, pair_l = np.repeat(np.arange(len(ask)), n), near.ravel()
+        else:
+            lists, pair_q, pair_l, n = split_cells(base, home[at], query, pair_q, pair_c, probes, min_sim)
+        o = np.argsort(lists, kind="stable")
+        start = np.searchsorted(lists[o], np.arange(n + 1))
+        q, b, _ = scan_lists(base[o], start, query, pair_q, pair_l, k, min_sim)
+        b = o[b]
+        s = np.einsum("ij,ij->i", exact_q[q], exact_b[b])
+        other = number[ask[q]] != number[at[b]]
+        if min_sim is not None:
+            other &= s >= min_sim
+        q, b, s = ask[q[other]], at[b[other]], s[other]
+        if min_sim is not None and query_filter is None:  # a pair counts for both
+            q, b, s = np.r_[q, b], np.r_[b, q], np.r_[s, s]
+        full = np.full(len(q), 16)
+        return pa.table({"q": _binary(ids[q], full), "b": _binary(ids[b], full), "s": pa.array(s)})
+
+    asked = F.lit(True) if query_filter is None else F.coalesce(F.expr(query_filter.replace(key, "vec_id")), F.lit(False))
+    routed = src.select("vec_id", "v", asked.alias("asked")).mapInArrow(place, "block int, digest binary, home int, probe binary, vec binary")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition holds one block."""
         got = list(batches)
-        if got:
-            yield from search(pa.Table.from_batches(got)).to_batches()
-
-    found = routed.repartitionById(blocks, "block").mapInArrow(task, "q long, b long, s float")
-    top = found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "b"))).filter(F.col("r") <= k).drop("r")
-    members = cut(usable.select("vec_id", "v").mapInArrow(digests, "digest long, vec_id long"))
+        found = search(pa.Table.from_batches(got)) if got else None
+        if found is not None:
+            yield from found.to_batches(max_chunksize=65_536)
+
+    found = routed.repartitionById(n_blocks, "block").mapInArrow(task, "q binary, b binary, s double")
+    # both sides may have found a pair, so up to two rows stand for one neighbour
+    few = found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "b"))).filter(F.col("r") <= 2 * k).drop("r").distinct()
+    top = few.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc(F.round("s", 6)), "b"))).filter(F.col("r") <= k).drop("r")
+    members = cut(usable.select("vec_id", "v").mapInArrow(digests, "digest binary, vec_id long"))
     return _with_copies(members, top, k, query_filter.replace(key, "vec_id") if query_filter else None)
 
 
 def _with_copies(members: DataFrame, top: DataFrame, k: int, query_filter: str | None) -> DataFrame:
-    """Neighbours between digests -> neighbours between ids; at most k + 1 ids stand for a digest's copies."""
-    ranked = members.withColumn("part", F.pmod(F.col("vec_id"), F.lit(64)))
-    few = ranked.groupBy("digest", "part").agg(F.expr(f"slice(array_sort(collect_list(vec_id)), 1, {k + 1})").alias("ids"), F.count("*").alias("n"))
-    copies = few.groupBy("digest").agg(F.expr(f"slice(array_sort(flatten(collect_list(ids))), 1, {k + 1})").alias("ids"), F.sum("n").alias("n"))
+    """Neighbours between digests -> neighbours between ids; the k + 1 smallest ids stand for a digest's copies."""
+    first = members.withColumn("r", F.row_number().over(W.partitionBy("digest").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
+    copies = first.groupBy("digest").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))  # at most k + 1
     across = top.join(copies.select(F.col("digest").alias("b"), "ids"), "b").groupBy("q").agg(F.collect_list(F.struct("s", "ids")).alias("near")).withColumnRenamed("q", "digest")
-    lone = copies.filter("n > 1").select("digest", F.col("ids").alias("own"))
+    lone = copies.filter(F.size("ids") > 1).select("digest", F.col("ids").alias("own"))
     lists = across.join(lone, "digest", "full_outer").select("digest", F.expr(
-        "concat(transform(coalesce(own, array()), i -> named_struct('o', -1D, 'id', i)),"
-        " flatten(transform(coalesce(near, array()), n -> transform(n.ids, i -> named_struct('o', -cast(n.s as double), 'id', i)))))"
+        "concat(transform(coalesce(own, array()), i -> named_struct('o', -1D, 'id', i, 's', 1D)),"
+        " flatten(transform(coalesce(near, array()), n -> transform(n.ids, i -> named_struct('o', -round(n.s, 6), 'id', i, 's', n.s)))))"
     ).alias("c")).withColumn("c", F.expr(f"slice(array_sort(c), 1, {k + 1})"))
     ask = members.filter(query_filter) if query_filter else members
     return (
         ask.join(lists, "digest")
         .select("vec_id", F.expr(f"slice(filter(c, x -> x.id <> vec_id), 1, {k})").alias("c"))
         .select("vec_id", F.explode("c").alias("x"))
-        .select("vec_id", F.col("x.id").alias("neighbor"), F.round(-F.col("x.o"), 6).alias("similarity"))
+        .select("vec_id", F.col("x.id").alias("neighbor"), F.col("x.s").alias("similarity"))
     )
 
 
 def p2_found(spark, sf_dir: str, least: float = 0.90, k: int = 10) -> DataFrame:
-    near = nearest(read_table(spark, sf_dir, "embed_response"), "vec_id", "dense", k=k, probes=12, min_sim=least)
-    return near.filter(F.col("similarity") >= least).select(F.least("vec_id", "neighbor").alias("vec_a"), F.greatest("vec_id", "neighbor").alias("vec_b")).distinct()
+    near = nearest(read_table(spark, sf_dir, "embed_response"), "vec_id", "dense", k=k, min_sim=least)
+    return near.select(F.least("vec_id", "neighbor").alias("vec_a"), F.greatest("vec_id", "neighbor").alias("vec_b")).distinct()
 
 
-def p2_neighbors(spark, sf_dir: str, k: int = 10) -> DataFrame:
-    """Queries are the rows whose id is divisible by 100, against all rows."""
-    return nearest(read_table(spark, sf_dir, "embed_response"), "vec_id", "dense", k=k, probes=None, query_filter="vec_id % 100 = 0")
+def p2_neighbors(spark, sf_dir: str, k: int = 10, probes: int | None = None) -> DataFrame:
+    """Queries are the rows whose id is divisible by 100, against all rows; all lists are probed."""
+    near = nearest(read_table(spark, sf_dir, "embed_response"), "vec_id", "dense", k=k, probes=probes, query_filter="vec_id % 100 = 0")
+    return near.withColumn("similarity", F.round("similarity", 6))
