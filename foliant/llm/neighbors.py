@@ -1,14 +1,14 @@
 """The k most similar vectors of every vector by adaptive dimension scan (problem 2).
 
-Index: spherical k-means cells fitted on a bounded sample (``SAMPLE_ROWS``, the rows with the smallest
-hash), every usable row is indexed. Cells are grouped into balanced blocks, one task each; within its
-block a cell of many rows is cut into lists of about ``LIST_ROWS`` by a second k-means, so lists stay
-short however large the table is. A cell that alone is more than a block is spread over several blocks
-by digest, and all of them are asked. A vector travels to the block of its own cell and, as a query,
-once to each other block that holds a cell it probes. With ``min_sim`` a cell is probed only if the
-border towards it is within reach: the step from a vector to a neighbour is at most sqrt(2 - 2 min_sim)
-long and, along a given direction, about an eighth of that (``REACH`` standard deviations are allowed,
-and a pair is found from either side).
+Index: spherical k-means cells (``CELLS`` to a block) fitted on a bounded sample (``SAMPLE_ROWS``, the
+rows with the smallest hash), every usable row is indexed. Cells are grouped into balanced blocks, one
+task each; within its block a second k-means cuts the rows into lists of about ``LIST_ROWS``, so lists
+stay short however large the table is. A cell that alone is more than a block is spread over several
+blocks by digest, and all of them are asked. A vector travels to the block of its own cell and, as a
+query, once to each other block that holds a cell it probes. With ``min_sim`` a cell or list is probed
+only if the border towards it is within reach: the step from a vector to a neighbour is at most
+sqrt(2 - 2 min_sim) long and, along a given direction, about an eighth of that. ``ROUTE_REACH`` standard
+deviations are allowed on the way to blocks, where a pair is found from either side, ``REACH`` inside.
 
 Vectors are rotated by a random orthogonal matrix and scanned in column blocks: after each block a
 hypothesis test compares the partial distance, scaled by 64/d, with the query's threshold and abandons
@@ -42,11 +42,12 @@ DIM = 64
 COLUMNS = 16
 LIST_ROWS = 256
 BLOCK_ROWS = 65_536
-TASK_ROWS = 20_000  # rows of a block as long as there are few blocks
+LEAST_BLOCKS = 12
+CELLS = 8
 SAMPLE_ROWS = 65_536
-MAX_CELLS = SAMPLE_ROWS // 4  # what the sample can tell apart; cells that hold more rows are cut into lists by their task
+MAX_CELLS = SAMPLE_ROWS // 4  # what the sample can tell apart; beyond, cells hold more rows and are spread over blocks
 EPSILON = 2.1  # of the hypothesis test
-REACH = 1.75
+ROUTE_REACH, REACH = 1.25, 2.5
 FULL_BLOCKS, FULL_ROWS = 200, 1_000_000  # blocks, or rows of a block, where every list is probed
 
 
@@ -214,14 +215,14 @@ def best(out_q: list, out_b: list, out_s: list, k: int) -> tuple[np.ndarray, np.
     return q[rank < k], b[rank < k], s[rank < k]
 
 
-def probed(sim: np.ndarray, near: np.ndarray, cents: np.ndarray, home: np.ndarray, min_sim: float | None) -> np.ndarray:
+def probed(sim: np.ndarray, near: np.ndarray, cents: np.ndarray, home: np.ndarray, min_sim: float | None, reach: float) -> np.ndarray:
     """Which of the ``near`` cells of each row are looked into: all, or those whose border is within reach."""
     if min_sim is None:
         return np.ones(near.shape, bool)
-    reach = REACH * math.sqrt(max(2 - 2 * min_sim, 0.0) / cents.shape[1])
+    step = reach * math.sqrt(max(2 - 2 * min_sim, 0.0) / cents.shape[1])
     own = np.take_along_axis(sim, home[:, None], 1)
     apart = np.sqrt(np.maximum(2 - 2 * np.einsum("nkd,nd->nk", cents[near], cents[home]), 1e-9))
-    return (own - np.take_along_axis(sim, near, 1) <= reach * apart) | (near == home[:, None])
+    return (own - np.take_along_axis(sim, near, 1) <= step * apart) | (near == home[:, None])
 
 
 def _closest(x: np.ndarray, cents: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,34 +233,19 @@ def _closest(x: np.ndarray, cents: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return sim, sim.argmax(1), near
 
 
-def split_cells(base: np.ndarray, cell: np.ndarray, query: np.ndarray, pair_q: np.ndarray, pair_c: np.ndarray, probes: int, min_sim: float | None):
-    """Cuts cells of many rows into lists: (list of each base row, pairs of query and list); other cells are one list each."""
-    lists = np.full(len(base), -1)
-    out_q, out_l, n = [], [], 0
-    o, po = np.argsort(cell, kind="stable"), np.argsort(pair_c, kind="stable")
-    u, at = np.unique(cell[o], return_index=True)
-    at = np.r_[at, len(o)]
-    lo, hi = np.searchsorted(pair_c[po], u), np.searchsorted(pair_c[po], u, side="right")
-    for i in range(len(u)):
-        rows, qs = o[at[i] : at[i + 1]], pair_q[po[lo[i] : hi[i]]]
-        if len(rows) <= 4 * LIST_ROWS:
-            lists[rows] = n
-            out_q.append(qs)
-            out_l.append(np.full(len(qs), n))
-            n += 1
-            continue
-        some = rows[:: max(1, len(rows) // (64 * (len(rows) // LIST_ROWS)) or 1)]
-        cents = fit_centroids(base[some], len(rows) // LIST_ROWS, rounds=4)
-        for c in range(0, len(rows), 8192):
-            lists[rows[c : c + 8192]] = n + (base[rows[c : c + 8192]] @ cents.T).argmax(1)
-        for c in range(0, len(qs), 4096):
-            sim, own, near = _closest(query[qs[c : c + 4096]], cents, min(2 * probes, len(cents)))
-            keep = probed(sim, near, cents, own, min_sim)
-            r, k = np.nonzero(keep)
-            out_q.append(qs[c : c + 4096][r])
-            out_l.append(n + near[r, k])
-        n += len(cents)
-    return lists, np.concatenate(out_q) if out_q else np.zeros(0, int), np.concatenate(out_l) if out_l else np.zeros(0, int), n
+def lists_of(base: np.ndarray, query: np.ndarray, probes: int | None, min_sim: float | None):
+    """Lists of the rows of a block: (list of each row, number of lists, pairs of query and list, the closest list first)."""
+    some = base[:: max(1, len(base) // SAMPLE_ROWS)]
+    cents = fit_centroids(some, max(1, len(base) // LIST_ROWS), rounds=4)
+    lists = np.concatenate([(base[c : c + 8192] @ cents.T).argmax(1) for c in range(0, len(base), 8192)])
+    most = len(cents) if probes is None else min(len(cents), 4 * probes)
+    out_q, out_l = [], []
+    for c in range(0, len(query), 4096):
+        sim, own, near = _closest(query[c : c + 4096], cents, most)
+        q, k = np.nonzero(probed(sim, near, cents, own, min_sim, REACH))
+        out_q.append(c + q)
+        out_l.append(near[q, k])
+    return lists, len(cents), np.concatenate(out_q), np.concatenate(out_l)
 
 
 def nearest(
@@ -275,7 +261,10 @@ def nearest(
     src = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"))
     usable = src.filter(F.size("v") == dim)
     total = usable.count()
-    cells = min(MAX_CELLS, max(1, total // LIST_ROWS))
+    blocks = max(LEAST_BLOCKS, math.ceil(total / BLOCK_ROWS))
+    if probes is None:  # every query goes to every block
+        blocks = min(blocks, max(FULL_BLOCKS, math.ceil(total / FULL_ROWS)))
+    cells = max(1, min(MAX_CELLS, CELLS * blocks, total // 16))
     want = min(sample_rows, 32 * cells)
     share = min(1.0, 1.3 * want / max(total, 1))
     sample = usable.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").limit(2 * want).toArrow()
@@ -288,9 +277,7 @@ def nearest(
         weight += np.bincount((x[i : i + 4096] @ cents.T).argmax(1), minlength=len(cents))
     rows = weight * total / weight.sum()  # expected in each cell
     parts = np.maximum(1, np.ceil(rows / (2 * BLOCK_ROWS))).astype(np.int32)
-    blocks = max(min(12, max(1, total // TASK_ROWS)), math.ceil(total / BLOCK_ROWS))
-    if probes is None:  # every query goes to every block
-        blocks = min(blocks, max(FULL_BLOCKS, math.ceil(total / FULL_ROWS)))
+    if probes is None:
         parts[:] = 1
     block_of = group_lists(cents, np.where(parts > 1, 1e-9, weight), blocks)
     first = blocks + np.cumsum(np.r_[0, parts[parts > 1]])  # cells larger than a block get blocks of their own
@@ -319,30 +306,24 @@ def nearest(
             for a in range(0, len(x), 4096):
                 y = x[a : a + 4096]
                 sim, home, near = _closest(y, cents, probe_n)
-                keep = probed(sim, near, cents, home, min_sim) & asked[a : a + 4096, None]
+                keep = probed(sim, near, cents, home, min_sim, ROUTE_REACH) & asked[a : a + 4096, None]
                 r, j = np.nonzero(keep)
                 cell = near[r, j]
                 r, cell = np.repeat(r, parts[cell]), np.repeat(cell, parts[cell])
                 one = np.r_[True, (r[1:] != r[:-1]) | (cell[1:] != cell[:-1])] if len(r) else np.zeros(0, bool)
                 nth = np.arange(len(r)) - np.maximum.accumulate(np.where(one, np.arange(len(r)), 0)) if len(r) else r
                 block = block_of[cell] + nth
-                if probes is None:  # cell 0 stands for all cells of the block
+                if probes is None:
                     some = np.flatnonzero(asked[a : a + 4096])
-                    r, block, cell = np.repeat(some, n_blocks), np.tile(np.arange(n_blocks), len(some)), np.zeros(len(some) * n_blocks, np.int64)
+                    r, block = np.repeat(some, n_blocks), np.tile(np.arange(n_blocks), len(some))
                 own = block_of[home] + salt[a : a + 4096] % parts[home]
-                # one row per (vector, block); the own block's row comes even without a probe
-                r2, b2, c2 = np.r_[np.arange(len(y)), r], np.r_[own, block], np.r_[np.full(len(y), -1), cell]
-                o = np.lexsort((c2, b2, r2))
-                r2, b2, c2 = r2[o], b2[o], c2[o].astype(np.int32)
-                begin = np.flatnonzero(np.r_[True, (r2[1:] != r2[:-1]) | (b2[1:] != b2[:-1])])
-                row, blk = r2[begin], b2[begin]
-                real = c2 >= 0
-                many = np.add.reduceat(real.astype(np.int32), begin) * 4
-                mine = blk == own[row]
+                # one row per (vector, block): kind 1 is in the block, 2 asks there, 3 both
+                to = np.unique(np.r_[np.arange(len(y)) * n_blocks + own, r * n_blocks + block])
+                row, blk = to // n_blocks, to % n_blocks
+                kind = (blk == own[row]).astype(np.int32) + 2 * asked[a : a + 4096][row]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(blk.astype(np.int32)), _binary(ids[a : a + 4096][row], np.full(len(row), 16)), pa.array(np.where(mine, home[row], -1).astype(np.int32)),
-                     _binary(c2[real], many), _binary(raw[a : a + 4096][row], np.full(len(row), 4 * dim))],
-                    names=["block", "digest", "home", "probe", "vec"],
+                    [pa.array(blk.astype(np.int32)), _binary(ids[a : a + 4096][row], np.full(len(row), 16)), pa.array(kind.astype(np.int8)), _binary(raw[a : a + 4096][row], np.full(len(row), 4 * dim))],
+                    names=["block", "digest", "kind", "vec"],
                 )
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,29 +333,18 @@ def nearest(
 
     def search(table: pa.Table) -> pa.Table | None:
         turn = shared.value[3]
-        home = table.column("home").to_numpy()
+        kind = table.column("kind").to_numpy()
         ids = _bytes_of(table.column("digest"))[1].reshape(-1, 16)
         raw = _bytes_of(table.column("vec"))[1].view(np.float32).reshape(-1, dim)
-        off, probe = _bytes_of(table.column("probe"))
         number = np.unique(np.ascontiguousarray(ids).view("V16").ravel(), return_inverse=True)[1].ravel()  # of each different vector
-        at = np.flatnonzero(home >= 0)
+        at, ask = np.flatnonzero(kind & 1), np.flatnonzero(kind & 2)
         at = at[np.unique(number[at], return_index=True)[1]]
-        ask = np.flatnonzero(np.diff(off) > 0)
         ask = ask[np.unique(number[ask], return_index=True)[1]]
         if not len(ask) or not len(at):
             return None
         exact_b, exact_q = _unit(raw[at]), _unit(raw[ask])
         base, query = (exact_b @ turn).astype(np.float32), (exact_q @ turn).astype(np.float32)
-        cells_of = probe.view(np.int32)
-        pair_q = np.repeat(np.arange(len(ask)), np.diff(off)[ask] // 4)
-        pair_c = np.concatenate([cells_of[off[i] // 4 : off[i + 1] // 4] for i in ask])
-        if probes is None:
-            _, lists = np.unique(home[at], return_inverse=True)
-            n = int(lists.max()) + 1
-            near = _closest(query, np.stack([base[lists == i].mean(0) for i in range(n)]), n)[2]
-            pair_q, pair_l = np.repeat(np.arange(len(ask)), n), near.ravel()
-        else:
-            lists, pair_q, pair_l, n = split_cells(base, home[at], query, pair_q, pair_c, probes, min_sim)
+        lists, n, pair_q, pair_l = lists_of(base, query, probes, min_sim)
         o = np.argsort(lists, kind="stable")
         start = np.searchsorted(lists[o], np.arange(n + 1))
         q, b, _ = scan_lists(base[o], start, query, pair_q, pair_l, k, min_sim)
@@ -390,7 +360,7 @@ def nearest(
         return pa.table({"q": _binary(ids[q], full), "b": _binary(ids[b], full), "s": pa.array(s)})
 
     asked = F.lit(True) if query_filter is None else F.coalesce(F.expr(query_filter.replace(key, "vec_id")), F.lit(False))
-    routed = src.select("vec_id", "v", asked.alias("asked")).mapInArrow(place, "block int, digest binary, home int, probe binary, vec binary")
+    routed = src.select("vec_id", "v", asked.alias("asked")).mapInArrow(place, "block int, digest binary, kind byte, vec binary")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition holds one block."""
