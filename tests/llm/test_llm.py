@@ -242,13 +242,37 @@ def test_tree_concatenation():
     enc = tokens.encoder(VOCAB)
     rng = random.Random(2)
     for _ in range(200):
-        t = "".join(rng.choice(["a", "the ", "'re", "\n\n", "  ", "学习", "12", "é", "…", "don't"]) for _ in range(rng.randint(2, 200)))
+        t = "".join(rng.choice(["a", "the ", "'re", "'", " '", "''", "\n\n", "  ", "\t", "\x1c", "\xa0", "学习", "。", "12", "é", "…", "don't", "!!"]) for _ in range(rng.randint(2, 200)))
         n = rng.choice([1, 7, 30])
         assert tokens.join_tree(enc, [(t[i : i + n], enc.encode_ordinary(t[i : i + n])) for i in range(0, len(t), n)]) == enc.encode_ordinary(t)
     long = "".join(rng.choice("abcdxyzé学") for _ in range(5000))
     assert tokens.encode_text(long, enc, 64) == enc.encode_ordinary(long)
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "患者应口服本品血压复查并且停用铁剂", "患者应口服，。本品!"])
+def test_joins_encode_little_again(letters, monkeypatch):
+    enc = tokens.encoder(VOCAB)
+    rng = random.Random(3)
+    t = "".join(rng.choice(letters) for _ in range(60_000))
+    parts = [(t[i : i + 4096], tokens.encode_text(t[i : i + 4096], enc)) for i in range(0, len(t), 4096)]
+    again = []
+    plain, whole = enc._core_bpe, tokens.encode_text
+
+    class Core:
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+        def encode_single_piece(self, data):
+            again.append(len(data))
+            return plain.encode_single_piece(data)
+
+    monkeypatch.setattr(enc, "_core_bpe", Core())
+    monkeypatch.setattr(tokens, "encode_text", lambda x, *a: again.append(len(x.encode())) or whole(x, *a))
+    got = tokens.join_tree(enc, parts)
+    monkeypatch.undo()
+    assert got == tokens.encode_text(t, enc) and sum(again) < 0.05 * len(t.encode())
+
+
 def test_encode_corpus(spark):
     enc = tokens.encoder(VOCAB)
     texts = [None, "", " ", "<|endoftext|> x", "ab " * 4000, "学" * 3000, "short", "short"]
@@ -286,6 +310,26 @@ def test_packing(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_the_program_needs_fewer_containers_than_best_fit():
+    m = 100  # half and a bit, quarter and two bits, quarter and a bit, quarter less two bits: best-fit spoils the full combinations
+    size = np.array([4160] * 6 * m + [2176] * 6 * m + [2112] * 6 * m + [1920] * 12 * m)
+    ids, piece = np.arange(len(size)), np.zeros(len(size), int)
+    plain, alone = np.full(len(size), -1), []
+    packing.best_fit(np.argsort(-size, kind="stable"), size, plain, alone, 8192)
+    where = packing.pack_shard(ids, piece, size, 8192)
+    assert np.bincount(where, weights=size).max() <= 8192
+    assert len(alone) == 11 * m and len(set(where.tolist())) <= 9.2 * m
+
+
+def test_best_configuration_keeps_limits():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        width, worth, limit = rng.integers(1, 9, 4), rng.random(4), rng.integers(0, 3, 4)
+        got = packing.best_configuration(width, worth, limit, 15)
+        best = max((sum(w * c for w, c in zip(worth, x)) for x in np.ndindex(*(limit + 1)) if sum(w * c for w, c in zip(width, x)) <= 15))
+        assert (got <= limit).all() and (got * width).sum() <= 15 and abs((got * worth).sum() - best) < 1e-9
+
+
 # ---- 8 -------------------------------------------------------------------------------------------
 LEX = {"latin": {"g": {"lorna", "silas", "élodie"}, "f": {"ockenby", "von lautersee", "d'aubrenelle", "o'tarlane"}}, "han": {"g": {"芷", "书岑"}, "f": {"桑", "欧阳"}}}
 
