@@ -6,8 +6,10 @@ encoded on different tasks; a single unsplit run (letters without a break) longe
 growing window around the join until its first token equals the left side's token at the window's
 start and its last token equals the right side's at the window's end. For BPE by rank a sequence is
 the encoding of its text exactly if each neighbouring pair of tokens is stable, so such agreement
-makes the concatenation exact. Across pre-token boundaries the window is cut at boundaries that
-both scans share.
+makes the concatenation exact. Where the kind of character changes at the join (letter, digit, sign,
+white space; in any script), a pre-token ends there and nothing is encoded again; where a run goes on
+across it, the window grows over the tokens of that run only; the few other cases (white space on both
+sides, apostrophes) use a window that ends at boundaries which both scans share.
 
 Defined results: null and empty text -> empty list; the spelling of a special token is ordinary
 text; one row per input row, repeated rows stay repeated; extra columns are dropped.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import os
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -98,15 +101,67 @@ def _starts(text: str) -> list[int]:
     return [m.start() for m in _pattern().finditer(text)]
 
 
+_WHITE = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
+
+
+def _kind(c: str) -> str:
+    """L letter, N number, S white space, O sign; ? where tables of characters may differ."""
+    if c in _WHITE:
+        return "S"
+    k = unicodedata.category(c)
+    return "?" if k in ("Cn", "Co", "Cs") or c.isspace() else k[0] if k[0] in "LN" else "O"
+
+
+@lru_cache(maxsize=1)
+def _runs():
+    import regex
+
+    body = {"L": r"\p{L}", "N": r"\p{N}", "O": r"[^\s\p{L}\p{N}]"}
+    return {k: (regex.compile(rf"(?r)[ ]?{v}+\Z"), regex.compile(rf"{v}+")) for k, v in body.items()}
+
+
+def _ends_between(a: str, b: str) -> bool:
+    """Does a pre-token end between these characters whatever stands around them?"""
+    x, y = _kind(a), _kind(b)
+    if "?" in (x, y) or x == y or x == "S":
+        return False
+    return y == "S" or not (a == "'" and y == "L")
+
+
 def join_texts(enc, left: str, left_ids: list[int], right: str, right_ids: list[int]) -> list[int]:
-    """Encoding of left+right from the encodings of both, with a growing window of pre-tokens.
+    """Encoding of left+right from the encodings of both."""
+    if not left or not right:
+        return left_ids + right_ids
+    if _ends_between(left[-1], right[0]):
+        return left_ids + right_ids
+    x, y = _kind(left[-1]), _kind(right[0])
+    if y in "LNO" and x in (y, "S") and right[0] != "'":
+        run = _runs()[y][1].match(right).group()
+        n_right = _count_tokens(enc, right_ids, run, from_end=False)
+        if x == y:
+            tail = _runs()[y][0].search(left).group()
+            n_left = _count_tokens(enc, left_ids, tail, from_end=True)
+            if tail.strip(" ")[:1] != "'" and not (y == "L" and left[: len(left) - len(tail)].endswith("'") and tail[0] != " ") and n_left and n_right:
+                k = len(left_ids) - n_left
+                return left_ids[:k] + join_piece(enc, left_ids[k:], right_ids[:n_right]) + right_ids[n_right:]
+        else:
+            white = left[len(left.rstrip("".join(_WHITE))) :]
+            n_left = _count_tokens(enc, left_ids, white, from_end=True)
+            if n_left and n_right:  # all but the last are a pre-token, a last space belongs to what follows
+                before = encode_piece(enc, white[:-1].encode()) if len(white) > 1 else []
+                last = list(enc._core_bpe.encode_single_piece(white[-1].encode()))
+                after = join_piece(enc, last, right_ids[:n_right]) if white[-1] == " " else last + right_ids[:n_right]
+                return left_ids[: len(left_ids) - n_left] + before + after + right_ids[n_right:]
+    return _join_windows(enc, left, left_ids, right, right_ids)
+
+
+def _join_windows(enc, left: str, left_ids: list[int], right: str, right_ids: list[int]) -> list[int]:
+    """The same with a growing window of pre-tokens.
 
     Scanning is deterministic to the right, so where the window's scan and a side's own scan share a
     boundary, both agree from there on; on the left a boundary counts only if the pre-token that
     ends there cannot have looked at the join.
     """
-    if not left or not right:
-        return left_ids + right_ids
     w = 64
     while True:
         whole_l, whole_r = w >= len(left), w >= len(right)
@@ -133,24 +188,25 @@ def join_texts(enc, left: str, left_ids: list[int], right: str, right_ids: list[
 
 
 def _boundary_before(left: str, w: int) -> int:
-    """A pre-token start of ``left`` at least ``w`` characters before its end, valid in the whole text.
-
-    A start directly after a line break run or between a non-space and a space is a boundary whatever
-    stands before it: a space always opens a new pre-token after a non-space.
-    """
+    """A pre-token start of ``left`` at least ``w`` characters before its end, valid in the whole text."""
     i = len(left) - w
-    while i > 0 and not (left[i] == " " and not left[i - 1].isspace()):
+    while i > 0 and not _ends_between(left[i - 1], left[i]):
         i -= 1
     return max(i, 0)
 
 
+@lru_cache(maxsize=4)
+def _sizes(enc) -> list[int]:
+    return [len(enc.decode_single_token_bytes(t)) for t in range(enc.max_token_value + 1)]
+
+
 def _count_tokens(enc, ids: list[int], part: str, from_end: bool) -> int | None:
     """How many tokens at the end (start) of ids spell exactly ``part``; None if none do."""
-    need, got, n = len(part.encode()), 0, 0
+    need, got, n, size = len(part.encode()), 0, 0, _sizes(enc)
     for t in reversed(ids) if from_end else ids:
         if got >= need:
             break
-        got += len(enc.decode_single_token_bytes(t))
+        got += size[t]
         n += 1
     return n if got == need else None
 
