@@ -1,11 +1,12 @@
 """One form for text that looks the same but is made of other characters (problem 5).
 
-A transducer is compiled once per Python worker: every mapped character, and every cluster of a base
-with its combining marks, goes to one form; a single left-to-right pass takes the longest match. The
-mapping is computed from Unicode's own decompositions (canonical, <wide>, <narrow>, ligatures,
-radicals, Roman numerals, kinds of space) plus a short list of letters of other scripts that look
-like a Latin one, then checked: applying it twice changes nothing, and characters that must stay
-apart (case, raised digits, ASCII, line breaks) do.
+A transducer is compiled before the first text: every character and every cluster of a base with
+combining marks (or of Hangul parts) that Unicode composes goes to one form, and one left-to-right pass
+takes the longest match. The mapping is computed from Unicode's own decompositions (canonical, <wide>,
+<narrow>, <font>, ligatures, radicals, Roman numerals, kinds of space) plus a list of letters of other
+scripts that look like a Latin one, then checked: applying it twice changes nothing, and characters that
+must stay apart (case, raised digits, ASCII, line breaks) do. Clusters that no single character stands
+for (a base with several marks) go through the same mapping and the canonical order of marks.
 
 Defined results: null -> null, empty -> empty; line breaks and tabs stay; several spaces stay
 several; upper and lower case, raised and plain digits stay apart.
@@ -28,17 +29,14 @@ from foliant.session import cut, read_table
 
 # Letters of other scripts and blocks that look like the Latin one they stand before.
 LOOKALIKE = {
-    "A": "ΑА", "B": "ΒВ", "C": "СϹ", "D": "", "E": "ΕЕ", "F": "Ϝ", "G": "Ԍ", "H": "ΗН", "I": "ΙІӀ", "J": "ЈͿ",
-    "K": "ΚК", "M": "ΜМϺ", "N": "Ν", "O": "ΟО", "P": "ΡР", "Q": "Ԛ", "S": "Ѕ", "T": "ΤТ", "V": "Ѵ", "W": "Ԝ",
-    "X": "ΧХ", "Y": "ΥҮ", "Z": "Ζ", "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "іı",
-    "j": "јϳ", "l": "ӏ", "o": "οоօ", "p": "рρ", "q": "ԛ", "s": "ѕ", "v": "νѵ", "w": "ԝ", "x": "х", "y": "уү",
-    "β": "", "μ": "µ", "-": "‐‑", "'": "ʼ",
+    "A": "ΑАᎪꓮ", "B": "ΒВᏴꓐ", "C": "СϹᏟꓚ", "D": "Ꭰꓓ", "E": "ΕЕᎬꓰ", "F": "Ϝꓝ", "G": "ԌᏀꓖ", "H": "ΗНᎻꓧ", "I": "ΙІӀꓲ", "J": "ЈͿᎫꓙ",
+    "K": "ΚКᏦꓗ", "L": "Ꮮꓡ", "M": "ΜМϺᎷꓟ", "N": "Νꓠ", "O": "ΟОՕꓳ", "P": "ΡРᏢꓑ", "Q": "Ԛ", "R": "Ꭱꓣ", "S": "ЅՏᏚꓢ", "T": "ΤТᎢꓔ", "U": "Սꓴ", "V": "ѴᏙꓦ", "W": "ԜᎳꓪ",
+    "X": "ΧХꓫ", "Y": "ΥҮꓬ", "Z": "ΖᏃꓜ", "a": "аɑ", "c": "сϲᴄ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іı",
+    "j": "јϳ", "l": "ӏ", "o": "οоօᴏ", "p": "рρ", "q": "ԛ", "s": "ѕꜱ", "u": "υս", "v": "νѵᴠ", "w": "ԝᴡ", "x": "х", "y": "уү", "z": "ᴢ",
+    "μ": "µ", "-": "‐‑", "'": "ʼ",
 }
 # Characters that must never be merged with another.
 APART = "²³¹⁰⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉αβ–—·×"
-COMPAT = ("<wide>", "<narrow>", "<compat>", "<noBreak>")
-
-
 def _invisible(c: str) -> bool:
     o = ord(c)
     return ud.category(c) == "Cf" or 0xFE00 <= o <= 0xFE0F or 0xE0100 <= o <= 0xE01EF or o in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D)
@@ -55,7 +53,7 @@ def _one(c: str, alike: dict[str, str]) -> str:
     for d in ud.normalize("NFD", c):
         how = ud.decomposition(d)
         o = ord(d)
-        if how.startswith(("<wide>", "<narrow>", "<noBreak>")) or (
+        if how.startswith(("<wide>", "<narrow>", "<noBreak>")) or (how.startswith("<font>") and 0x1D400 <= o <= 0x1D7FF) or (
             how.startswith("<compat>") and (0x2E80 <= o <= 0x2FDF or 0xFB00 <= o <= 0xFB06 or 0x2160 <= o <= 0x217F or 0x2002 <= o <= 0x200A or o in (0x2103, 0x2109))
         ):
             d = ud.normalize("NFKD", d)
@@ -63,22 +61,36 @@ def _one(c: str, alike: dict[str, str]) -> str:
     return ud.normalize("NFC", "".join(out))
 
 
+def _mapped(c: str, table: dict[str, str]) -> str:
+    """The form of a cluster: its parts one by one, marks in canonical order."""
+    m = ud.normalize("NFC", "".join(table.get(x, x) for x in ud.normalize("NFD", c)))
+    return ud.normalize("NFC", "".join(table.get(x, x) for x in m))
+
+
 @lru_cache(maxsize=1)
 def transducer() -> tuple[re.Pattern, dict[str, str]]:
     alike = {x: k for k, v in LOOKALIKE.items() for x in v}
     table: dict[str, str] = {}
     marks: list[str] = []
+    composed: list[str] = []
     for o in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= o <= 0xDFFF or 0xAC00 <= o <= 0xD7A3 or 0x20000 <= o < 0x2F800 or 0x30000 <= o < 0xE0000:
             continue
         c = chr(o)
         if ud.combining(c):
             marks.append(c)
+        if ud.decomposition(c)[:1] not in ("", "<"):
+            composed.append(c)
         m = _one(c, alike)
         m = ud.normalize("NFC", "".join(_one(x, alike) for x in m))
         if m != c:
             table[c] = m
-    for c, m in table.items():  # conflict check
+    clusters: dict[str, str] = {}
+    for c in composed:  # each way to write it: wholly apart, and the last mark apart
+        for way in {ud.normalize("NFD", c), "".join(chr(int(x, 16)) for x in ud.decomposition(c).split())}:
+            if len(way) > 1:
+                clusters[way] = _mapped(c, table)
+    for c, m in (table | clusters).items():  # conflict check
         again = ud.normalize("NFC", "".join(table.get(x, x) for x in m))
         if again != m:
             raise ValueError(f"{c!r} goes to {m!r}, which goes on to {again!r}")
@@ -88,7 +100,8 @@ def transducer() -> tuple[re.Pattern, dict[str, str]]:
     ranges = lambda cs: "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in _runs(sorted(map(ord, cs))))
     inv = ranges(c for c, m in table.items() if not m and not ud.combining(c))
     mk, single = ranges(marks), ranges(table)
-    return re.compile(f"[^\\n{mk}{inv}][{inv}]*[{mk}][{mk}{inv}]*|[{single}]"), table
+    hangul = "[\u1100-\u1112][\u1161-\u1175][\u11a8-\u11c2]?|[\uac00-\ud7a3][\u11a8-\u11c2]"
+    return re.compile(f"{hangul}|[^\\n{mk}{inv}][{inv}]*[{mk}][{mk}{inv}]*|[{single}]"), table | clusters
 
 
 def _runs(points: list[int]) -> Iterator[tuple[int, int]]:
@@ -107,9 +120,8 @@ class _Out(dict):
         super().__init__(table)
         self.table = table
 
-    def __missing__(self, cluster):  # a base with marks, seen for the first time
-        m = ud.normalize("NFC", "".join(self.table.get(x, x) for x in ud.normalize("NFD", cluster)))
-        self[cluster] = m = ud.normalize("NFC", "".join(self.table.get(x, x) for x in m))
+    def __missing__(self, cluster):  # a base with marks that no character stands for, or with invisible ones between
+        self[cluster] = m = _mapped(cluster, self.table)
         return m
 
 
@@ -183,3 +195,17 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
 
 def p5_forms(spark, sf_dir: str) -> DataFrame:
     return normalized(read_table(spark, sf_dir, "chunks").select("chunk_key", "content"), "content", "form").select("chunk_key", "form")
+
+
+def p5_names(spark, sf_dir: str) -> DataFrame:
+    """The one form of each leaflet's generic name."""
+    return normalized(read_table(spark, sf_dir, "leaflets").select("leaflet_key", F.col("meta.`通用名称`").alias("name")), "name", "form").select("leaflet_key", "form")
+
+
+def p5_classes(spark, sf_dir: str) -> DataFrame:
+    """(chunk_key, class_key, n_texts, n_spellings): texts of one form as a class with its smallest key; no pairs, so a form
+    of many rows costs its rows. Classes of one row are left out; null contents take no part."""
+    keys = cut(form_keys(read_table(spark, sf_dir, "chunks"), "chunk_key", "content"))
+    spellings = keys.groupBy("form", "raw").agg(F.count("*").alias("n"), F.min("key").alias("first"))
+    classes = spellings.groupBy("form").agg(F.min("first").alias("class_key"), F.sum("n").alias("n_texts"), F.count("*").alias("n_spellings")).filter("n_texts > 1")
+    return keys.join(classes, "form").select(F.col("key").alias("chunk_key"), "class_key", "n_texts", "n_spellings")

@@ -16,6 +16,7 @@ name); positions count code points.
 """
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections import Counter
@@ -40,16 +41,17 @@ _WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
           "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
           "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
           "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9"}
+_HAN_DIGITS = dict(zip("〇零一二三四五六七八九两", "001234567892"))  # Fixed values
 _W = "(?:" + "|".join(sorted(_WORDS, key=len, reverse=True)) + ")"
 _AT = r"\s?[\[({<]\s?(?:at|ät|arroba|arobase|艾特)\s?[\])}>]\s?"
 _DOT = r"\s?[\[({<]\s?(?:dot|punkt|point|punto|点)\s?[\])}>]\s?"
 _EDIT = re.compile(
     f"(?P<at>{_AT})|(?P<dot>{_DOT})"
     r"|(?P<wat>(?<=[\w]) (?:at|arroba) (?=[\w-]+(?: (?:dot|punto|punkt|point) [\w-]+)+))|(?P<wdot>(?<=[\w]) (?:dot|punto|punkt|point) (?=[\w-]{2,}))"
-    f"|(?P<num>\\b{_W}(?:[ -]{_W}){{6,}}\\b)|(?P<odd>(?-i:[{''.join(map(re.escape, _PLAIN))}]))", re.I,
+    f"|(?P<han>[{''.join(_HAN_DIGITS)}]{{7,}})|(?P<num>\\b{_W}(?:[ -]{_W}){{6,}}\\b)|(?P<odd>(?-i:[{''.join(map(re.escape, _PLAIN))}]))", re.I,
 )
 _ODD = re.compile(f"[{''.join(map(re.escape, _PLAIN))}]")
-_DISGUISE = re.compile(f"[\\[({{<] ?(?:at|ät|arroba|arobase|dot|punkt|point|punto) ?[\\])}}>]|\\b{_W}[ -]{_W}[ -]{_W}[ -]{_W}\\b| (?:at|arroba) [\\w-]+ (?:dot|punto|punkt|point) ", re.I)
+_DISGUISE = re.compile(f"[{''.join(_HAN_DIGITS)}]{{7}}|[\\[({{<] ?(?:at|ät|arroba|arobase|dot|punkt|point|punto) ?[\\])}}>]|\\b{_W}[ -]{_W}[ -]{_W}[ -]{_W}\\b| (?:at|arroba) [\\w-]+ (?:dot|punto|punkt|point) ", re.I)
 
 
 def plain(text: str) -> tuple[str, list[int] | None, list[int] | None]:
@@ -69,7 +71,9 @@ def plain(text: str) -> tuple[str, list[int] | None, list[int] | None]:
         a += range(at, s)
         b += range(at + 1, s + 1)
         new = {"at": "@", "wat": "@", "dot": ".", "wdot": "."}.get(k)
-        if new is None:
+        if k == "han":
+            new = "".join(_HAN_DIGITS[c] for c in m.group())
+        elif new is None:
             new = "".join(_WORDS[w.lower()] for w in re.findall(_W, m.group(), re.I)) if k == "num" else _PLAIN.get(m.group(), m.group())
         out.append(new)
         a += [s] * len(new)
@@ -165,6 +169,7 @@ _PART = r"(?:(?:von|van|zu|de la|de los|de|del|du|la|le|da|di) |[dD]['’])?"
 _NAME = rf"(?P<name>(?P<g>[A-ZÀ-Þ][\w-]+)(?: [A-ZÀ-Þ]\.)? (?P<f>{_PART}[A-ZÀ-Þ][\w'’-]+)|(?P<f2>{_PART}[A-ZÀ-Þ][\w'’-]+), (?P<g2>[A-ZÀ-Þ][\w-]+)(?: [A-ZÀ-Þ]\.)?)"
 CUES = (
     "Dr. |Dra. |docteur |Docteur |doctor |doctora |Doctor |Doctora |next of kin: |Patient |Patientin |Patiente |paciente |Paciente |Patient: |Patientin: |Patiente: |paciente: |Paciente: |stammt von |vient de "
+    "|Mr. |Mrs. |Ms. |Miss |Mr |Mrs |Ms |Prof. |Professor |Professeur |Profesor |Profesora |Herr |Monsieur |Madame |Mme |Señor |Señora |Sr. |Sra. "
     "|notificación es de |documents to |Herrn |Frau |atención de |attention de |it's |reporter, |docteure "
 ).split("|")
 ANNOUNCED = re.compile(rf"{_NAME}(?![\w])")
@@ -328,7 +333,6 @@ def mentions(text: str | None, names: Names) -> list[tuple[str, int, int]]:
     found: list[tuple[str, int, int]] = []
     if "@" in t:
         found += [("email", *m.span()) for m in EMAIL.finditer(t)]
-    taken = [x[1:] for x in found]
     for m in ID_TOKEN.finditer(t):
         s = m.group()
         left = t[max(0, m.start() - 24) : m.start()]
@@ -348,16 +352,23 @@ def mentions(text: str | None, names: Names) -> list[tuple[str, int, int]]:
                 at = nxt.end()
     found += [("address", s, e) for s, e in _addresses(t)]
     spans, own = names.new_names(t)
+    named: list[tuple[int, int]] = []
+    told = set(spans)
     for s, e in (*names.find(t), *spans, *(own.find(t) if own else ())):  # a span that an earlier one crosses goes
-        if t[s] >= "一" and (s, e) not in spans and not (_HAN_AFTER.match(t, e) and _HAN_BEFORE.search(t, max(0, s - 4), s)):
+        if t[s] >= "一" and (s, e) not in told and not (_HAN_AFTER.match(t, e) and _HAN_BEFORE.search(t, max(0, s - 4), s)):
             continue
-        if all(k != "name" or e <= s2 or s >= e2 for k, s2, e2 in found):
-            found.append(("name", s, e))
+        i = bisect.bisect_right(named, (s, 1 << 60))
+        if (not i or named[i - 1][1] <= s) and (i == len(named) or named[i][0] >= e):
+            named.insert(i, (s, e))
+    found += [("name", s, e) for s, e in named]
     rank = {"email": 0, "id_number": 1, "phone": 2, "address": 3, "name": 4}
     kept: list[tuple[str, int, int]] = []
+    starts: list[int] = []  # kept spans do not overlap, so only the ones beside a new one can cross it
     for k, s, e in sorted(found, key=lambda x: (rank[x[0]], x[1], -x[2])):
-        if all(e <= s2 or s >= e2 for _, s2, e2 in kept):
-            kept.append((k, s, e))
+        i = bisect.bisect_right(starts, s)
+        if (not i or kept[i - 1][2] <= s) and (i == len(kept) or kept[i][1] >= e):
+            starts.insert(i, s)
+            kept.insert(i, (k, s, e))
     if a is not None:
         kept = [(k, a[s], b[e - 1]) for k, s, e in kept]
     return sorted(kept, key=lambda x: x[1])

@@ -14,7 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": neighbors.p2_found, "p2_neighbors": neighbors.p2_neighbors,
         "p3_found": splitting.p3_found, "p3_pieces": splitting.p3_pieces,
         "p4_found": neardup.p4_found, "p4_groups": neardup.p4_groups,
-        "p5_found": lookalikes.p5_found, "p5_forms": lookalikes.p5_forms,
+        "p5_found": lookalikes.p5_found, "p5_forms": lookalikes.p5_forms, "p5_names": lookalikes.p5_names, "p5_classes": lookalikes.p5_classes,
         "p6_ids": tokens.p6_ids, "p6_token_counts": tokens.p6_token_counts,
         "p7_containers": packing.p7_containers,
         "p8_found": pii.p8_found, "p8_masked": pii.p8_masked,
