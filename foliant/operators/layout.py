@@ -37,6 +37,45 @@ def element_kind(t: Column) -> Column:
     return F.when(is_heading(t), "heading").when(is_caption(t), "caption").when(is_subheading(t), "subheading").otherwise("paragraph")
 
 
+def bold_kind(t: Column, bold: Column, n_lines: Column) -> Column:
+    """Kind of a block of running text with its type face: captions are bold, sub-headings bold and one line."""
+    b = F.coalesce(bold, F.lit(False))
+    return F.when(b & is_caption(t), "caption").when(b & (n_lines == 1) & is_subheading(t), "subheading").otherwise("paragraph")
+
+
+def build_chunks(el: DataFrame, key: str, limit: int = CHUNK_LIMIT) -> DataFrame:
+    """(key, id, type, section, sub_section, content, page_start, page_end, char_len, block_id) of elements (key, seq,
+    section_no, section, kind, text, page).
+
+    Within a section a sub-heading ends the chunk and opens the next one; a table or figure is a chunk by itself; a
+    paragraph that would pass ``limit`` opens the next chunk and is never cut; joining characters do not count for the
+    limit but do for char_len. Ids c001... run over the document in reading order, block ids table-01..., figure-01...
+    likewise for each type. Null texts are empty; a section without elements gives no chunk.
+    """
+    w = W.partitionBy(key).orderBy("seq")
+    s = W.partitionBy(key, "section_no").orderBy("seq")
+    atomic = F.col("kind").isin("table", "figure")
+    opens = (F.col("kind") == "subheading") | atomic | F.coalesce(F.lag("kind").over(s).isin("table", "figure"), F.lit(True))
+    x = (
+        el.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("opens", opens.cast("int")).withColumn("island", F.sum("opens").over(w))
+        .withColumn("sub_section", F.last(F.when(F.col("kind") == "subheading", F.col("text")), True).over(s))
+    )
+    heads = x.select(key, "seq", "section_no", "section", "sub_section", "kind", "page")
+    packed = pack(x.select(key, "island", "seq", "text"), [key, "island"], limit).join(heads, [key, "seq"])
+    first = F.min_by(F.struct("section", "sub_section", "kind", "page"), "seq")
+    g = packed.groupBy(key, "island", "chunk_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda v: v["text"]), "\n").alias("content"),
+        first.alias("f"), F.max_by("page", "seq").alias("page_end"), F.min("seq").alias("seq"),
+    )
+    type_ = F.when(F.col("f.kind").isin("table", "figure"), F.col("f.kind")).otherwise("text")
+    g = g.withColumn("type", type_)
+    nth = F.row_number().over(W.partitionBy(key, "type").orderBy("seq"))
+    return g.select(
+        key, F.format_string("c%03d", F.row_number().over(w)).alias("id"), "type", F.col("f.section").alias("section"), F.col("f.sub_section").alias("sub_section"), "content",
+        F.col("f.page").alias("page_start"), "page_end", F.length("content").alias("char_len"), F.when(F.col("type") != "text", F.concat("type", F.format_string("-%02d", nth))).alias("block_id"),
+    )
+
+
 def fill_sections(el: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds section_id, section and sub_section: each line belongs to the last heading, sub-headings end with their section."""
     w = W.partitionBy(key).orderBy("seq")

@@ -9,33 +9,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Model = Callable[[list], list]
+from foliant.operators.calls import Policy, call
 
+Model = Callable[[list], list]
 
-def batch_call(df: DataFrame, key: str, value: str, model: Model, retries: int = 2) -> DataFrame:
-    """(key, ok, data, error): one call per Arrow batch; where a batch fails its items are called one by one,
-    so one bad item never takes others with it. Items are retried ``retries`` times on connection errors."""
 
-    def one(v) -> tuple[bool, str | None, str | None]:
-        for attempt in range(retries + 1):
-            try:
-                return True, model([v])[0], None
-            except (ConnectionError, TimeoutError) as e:
-                if attempt == retries:
-                    return False, None, f"{type(e).__name__}: {e}"
-            except Exception as e:  # noqa: BLE001
-                return False, None, f"{type(e).__name__}: {e}"
-        return False, None, None
+def batch_call(df: DataFrame, key: str, value: str, model: Model, retries: int = 2, policy: Policy | None = None) -> DataFrame:
+    """(key, ok, data, error): one call per Arrow batch under the policy; where a batch fails for good its items are called
+    one by one, each under the policy, so one bad item never takes others with it. A failure that waiting may mend (SAFE,
+    UNKNOWN) is tried again with doubled waits, for the batch as for an item; others are not."""
+    policy = policy or Policy(attempts=retries + 1, base_s=0.05)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole(vals: list) -> list:
+            got = model(vals)
+            if len(got) != len(vals):
+                raise ValueError("length")
+            return got
+
         for b in batches:
             vals = b.column(1).to_pylist()
-            try:
-                rows = [(True, x, None) for x in model(vals)]
-                if len(rows) != len(vals):
-                    raise ValueError("length")
-            except Exception:  # noqa: BLE001
-                rows = [one(v) for v in vals]
+            r = call(whole, vals, policy=policy)
+            if r.ok:
+                rows = [(True, x, None) for x in r.data]
+            elif len(vals) == 1:
+                rows = [(False, None, r.error)]
+            else:
+                rows = [(o.ok, o.data[0] if o.ok else None, o.error) for o in (call(whole, [v], policy=policy) for v in vals)]
             ok, data, err = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ok, pa.bool_()), pa.array(data, pa.string()), pa.array(err, pa.string())], names=[key, "ok", "data", "error"])
 

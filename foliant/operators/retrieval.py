@@ -10,17 +10,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.text import tokens
+from foliant.session import cut
 
-QUERY_ROWS = 100_000  # a query set up to this size is sent to every task, a larger one goes in blocks
+QUERY_BYTES = 256 << 20  # a query set up to this size is sent to every task at once, a larger one goes in blocks
+BROADCAST_TERMS = 1_000_000  # weights of up to so many terms go to every task, more are joined by shuffle
 
 
 def term_frequency(docs: DataFrame, key: str, fields: dict[str, int]) -> DataFrame:
-    """(key, term, tf): tokens of each field counted with the field's weight."""
-    parts = [docs.select(F.col(key), F.explode(tokens(F.coalesce(F.col(c), F.lit("")))).alias("term"), F.lit(w).alias("w")) for c, w in fields.items()]
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
-    return all_.groupBy(key, "term").agg(F.sum("w").cast("long").alias("tf"))
+    """(key, term, tf): tokens of each field counted with the field's weight.
+
+    The texts are brought together by key before they are cut into tokens, so the counting itself moves nothing:
+    postings are many times the size of the texts.
+    """
+    def pairs(c: str, w: int):
+        return F.transform(tokens(F.coalesce(F.col(c), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+
+    weighted = [pairs(c, w) for c, w in fields.items()]
+    by_key = docs.select(key, *dict.fromkeys(fields)).repartition(F.col(key))
+    one = by_key.select(key, F.explode(weighted[0] if len(weighted) == 1 else F.concat(*weighted)).alias("t"))
+    return one.select(key, F.col("t.term").alias("term"), F.col("t.w").alias("w")).groupBy(key, "term").agg(F.sum("w").cast("long").alias("tf"))
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
@@ -31,24 +39,41 @@ def idf(df: DataFrame, n_docs: int) -> DataFrame:
     return df.withColumn("idf", F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
 
 
+def term_weights(tf: DataFrame, n_docs: int) -> DataFrame:
+    """(term, idf), counted once and written; marked for broadcast if there are ``BROADCAST_TERMS`` at most."""
+    w = cut(idf(document_frequency(tf), n_docs).select("term", "idf"))
+    return F.broadcast(w) if w.count() <= BROADCAST_TERMS else w
+
+
+def raw_weights(tf: DataFrame, weights: DataFrame, key: str) -> DataFrame:
+    return tf.join(weights, "term").select(key, "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("x"))
+
+
 def normalised(tf: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     """(key, term, w): (1 + ln tf) idf, brought to unit length; a zero vector has no rows."""
-    raw = tf.join(weights.select("term", "idf"), "term").select(key, "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("x"))
-    # one shuffle by key: the norm is a window over the rows of the key, not a second aggregate joined back
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)))
-    return raw.withColumn("norm", norm).filter("norm > 0").select(key, "term", (F.col("x") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)))  # rows of a key are together already
+    return raw_weights(tf, weights, key).withColumn("norm", norm).filter("norm > 0").select(key, "term", (F.col("x") / F.col("norm")).alias("w"))
 
 
 def sparse_top(queries: DataFrame, docs: DataFrame, qkey: str, qtext: str, dkey: str, fields: dict[str, int], k: int = 8, least: float = 0.05) -> DataFrame:
     """(qkey, dkey, score, rank): sparse dot products by an equi-join on terms; ties go to the smaller key.
 
-    Terms of the query that no document has weigh nothing and do not enter its norm.
+    Terms of the query that no document has weigh nothing and do not enter its norm. Of the documents' postings only those
+    of the queries' terms are joined; the others count for the documents' norms, in place.
     """
     tf = term_frequency(docs, dkey, fields)
-    weights = idf(document_frequency(tf), docs.count())
-    d = normalised(tf, weights, dkey)
-    q = normalised(term_frequency(queries, qkey, {qtext: 1}), weights, qkey)
-    score = d.withColumnRenamed("w", "dw").join(q.withColumnRenamed("w", "qw"), "term").groupBy(qkey, dkey).agg(F.round(F.sum(F.col("dw") * F.col("qw")), 6).alias("score"))
+    weights = term_weights(tf, docs.count())
+    q = cut(normalised(term_frequency(queries, qkey, {qtext: 1}), weights, qkey).select(qkey, "term", F.col("w").alias("qw")))
+    raw = raw_weights(tf, weights, dkey)
+    asked = q.groupBy("term").agg(F.collect_list(F.struct(qkey, "qw")).alias("ask"))
+    if q.count() <= BROADCAST_TERMS:
+        asked = F.broadcast(asked)
+    hit = raw.join(asked, "term", "left")
+    # one pass by document: the norm of all its terms and the products with each query
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")))
+    found = hit.groupBy(dkey).agg(norm.alias("norm"), F.collect_list(F.when(F.col("ask").isNotNull(), F.struct("x", "ask"))).alias("h")).filter("norm > 0 AND size(h) > 0")
+    parts = found.select(dkey, "norm", F.explode("h").alias("h")).select(dkey, "norm", F.col("h.x").alias("x"), F.explode("h.ask").alias("a"))
+    score = parts.groupBy(dkey, F.col(f"a.{qkey}").alias(qkey), "norm").agg(F.sum(F.col("x") * F.col("a.qw")).alias("dot")).select(qkey, dkey, F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
     rank = W.partitionBy(qkey).orderBy(F.desc("score"), dkey)
     return score.filter(F.col("score") >= least).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
@@ -57,8 +82,8 @@ def dense_top(queries: DataFrame, docs: DataFrame, qkey: str, dkey: str, vector:
     """(qkey, dkey, score, rank): exact top-k by cosine. Each task multiplies its rows with a block of the queries and keeps k a query."""
     spark = docs.sparkSession
     q = queries.select(F.col(qkey).cast("long").alias("q"), F.col(vector).alias("v")).filter(F.size("v") > 0)
-    n = q.count()
-    blocks = max(1, -(-n // QUERY_ROWS))
+    size = q.agg(F.sum(8 * (F.size("v") + 2))).first()[0] or 0
+    blocks = max(1, -(-size // QUERY_BYTES))
     found = None
     for b in range(blocks):
         part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)

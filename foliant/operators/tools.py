@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.operators.calls import Policy, call
+
 TYPES = {"string": str, "number": (int, float), "integer": int, "boolean": bool}
 
 
@@ -73,22 +75,25 @@ class Registry:
         return df.select(key, name, args).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, code string, result string, error string")
 
 
+class Ended(Exception):
+    """An attempt that ended with a given class of failure."""
+
+    def __init__(self, klass: str):
+        super().__init__(klass)
+        self.status_code = {"SAFE": 503, "UNKNOWN": 504}.get(klass, 400)
+
+
 def attempts_allowed(outcomes: list[str | None], idempotent: bool, most: int = 3) -> tuple[int, bool, float]:
-    """(attempts made, blocked, seconds waited) of a call whose attempts would end as given (None: success).
-
-    An idempotent call retries SAFE and UNKNOWN; another call retries SAFE only, with one attempt more, and is blocked for good
-    once an attempt ends UNKNOWN. Waits double from one second.
-    """
-    limit = most if idempotent else most + 1
-    wait = 0.0
-    for n, o in enumerate(outcomes[:limit], 1):
-        if o is None or o == "NO":
-            return n, False, wait
-        if o == "UNKNOWN" and not idempotent:
-            return n, True, wait
-        if n < min(limit, len(outcomes)):
-            wait += 2.0 ** (n - 1)
-    return min(limit, len(outcomes)), False, wait
+    """(attempts made, blocked, seconds waited) of a call whose attempts would end as given (None: success): operators.calls on a log."""
+    log = iter(outcomes)
+
+    def attempt() -> None:
+        o = next(log, None)
+        if o is not None:
+            raise Ended(o)
+
+    r = call(attempt, policy=Policy(attempts=most, idempotent=idempotent), sleep=lambda s: None)
+    return r.attempts, r.blocked, r.waited_s
 
 
 def reflect_loop(task: str, act: Callable[[str, str], str], judge: Callable[[str, str], tuple[bool, str]], trials: int = 3) -> list[tuple[int, str, bool, str]]:

@@ -1,6 +1,7 @@
 """Queries over element streams and chunking; the element stream is the lines of ``documents``."""
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.operators import layout as L
@@ -79,6 +80,35 @@ def chunk_pack_markdown(spark, d):
     return L.pack(_elements(spark, d), ["doc_id"], over=True).select("doc_id", "seq", "chunk_no")
 
 
+# The leaflets' chunks as element streams: text lines are blocks (bold where they are the sub-section's title), tables and figures stand whole.
+_BLOCKS = rf"""b0 AS (SELECT leaflet_key, page_start, chunk_key, type, section, sub_section, unnest(CASE WHEN type = 'text' THEN string_split(content, chr(10)) ELSE [content] END) AS line,
+   unnest(range(CASE WHEN type = 'text' THEN len(string_split(content, chr(10))) ELSE 1 END)) AS i FROM chunks WHERE content IS NOT NULL),
+ b1 AS (SELECT *, CASE WHEN type = 'text' THEN regexp_replace(line, '^{WS}+|{WS}+$', '', 'g') ELSE line END AS text FROM b0),
+ b2 AS (SELECT leaflet_key, page_start AS page, coalesce(section, '文档头') AS section, text, CASE WHEN type <> 'text' THEN type WHEN coalesce(text = sub_section, false) AND regexp_matches(text, '^(表|图)\s*\d+\s*[:：]?\s*') THEN 'paragraph'
+   WHEN coalesce(text = sub_section, false) AND NOT regexp_matches(text, '[。；！？]$') AND (length(text) <= 30 OR (length(text) <= 50 AND NOT regexp_matches(text, '^[*＊†‡注]') AND NOT contains(text, '='))) THEN 'subheading' ELSE 'paragraph' END AS kind,
+   row_number() OVER (PARTITION BY leaflet_key ORDER BY page_start, chunk_key, i) AS rn FROM b1 WHERE text <> ''),
+ b AS (SELECT *, CASE WHEN section IS DISTINCT FROM lag(section) OVER (PARTITION BY leaflet_key ORDER BY rn) THEN 1 ELSE 0 END AS new_section FROM b2)"""
+
+
+@query("build_chunks", f"""WITH RECURSIVE {_BLOCKS}, r AS (SELECT leaflet_key, rn, kind, section, text, page, length(text) AS len, 1 AS no, CASE WHEN kind = 'subheading' THEN text END AS sub FROM b WHERE rn = 1
+  UNION ALL SELECT b.leaflet_key, b.rn, b.kind, b.section, b.text, b.page, CASE WHEN cut THEN length(b.text) ELSE len + length(b.text) END, CASE WHEN cut THEN no + 1 ELSE no END, CASE WHEN b.kind = 'subheading' THEN b.text WHEN b.new_section = 1 THEN NULL ELSE sub END
+  FROM (SELECT b.*, r.len, r.no, r.sub, b.new_section = 1 OR b.kind <> 'paragraph' OR r.kind IN ('table', 'figure') OR r.len + length(b.text) > 600 AS cut FROM r JOIN b ON b.leaflet_key = r.leaflet_key AND b.rn = r.rn + 1) AS b),
+ g AS (SELECT leaflet_key, no, string_agg(text, chr(10) ORDER BY rn) AS content, min_by(kind, rn) AS k, min_by(section, rn) AS section, arg_min_null(sub, rn) AS sub_section, min(page) AS page_start, max_by(page, rn) AS page_end FROM r GROUP BY leaflet_key, no)
+ SELECT leaflet_key, 'c' || CASE WHEN no < 1000 THEN lpad(CAST(no AS VARCHAR), 3, '0') ELSE CAST(no AS VARCHAR) END AS id, CASE WHEN k IN ('table', 'figure') THEN k ELSE 'text' END AS type, section, sub_section, content, page_start, page_end, length(content) AS char_len,
+  CASE WHEN k IN ('table', 'figure') THEN k || '-' || lpad(CAST(row_number() OVER (PARTITION BY leaflet_key, k ORDER BY no) AS VARCHAR), 2, '0') END AS block_id FROM g""")
+def build_chunks(spark, d):
+    """Chunks built anew from the leaflets' element streams, with sections, sub-headings, tables and figures."""
+    c = read_table(spark, d, "chunks").filter("content IS NOT NULL").select("leaflet_key", "page_start", "chunk_key", "type", F.coalesce("section", F.lit(L.PREAMBLE)).alias("section"), "sub_section", F.posexplode(
+        F.when(F.col("type") == "text", F.split("content", "\n")).otherwise(F.array("content"))).alias("i", "line"))
+    text = F.when(F.col("type") == "text", L.strip(F.col("line"))).otherwise(F.col("line"))
+    w = W.partitionBy("leaflet_key").orderBy("page_start", "chunk_key", "i")
+    kind = F.when(F.col("type") != "text", F.col("type")).otherwise(L.bold_kind(F.col("text"), F.col("text") == F.col("sub_section"), F.lit(1)))
+    x = c.withColumn("text", text).filter("text <> ''").withColumn("kind", kind).withColumn("kind", F.when(F.col("kind") == "caption", "paragraph").otherwise(F.col("kind"))).withColumn("seq", F.row_number().over(w))
+    o = W.partitionBy("leaflet_key").orderBy("seq")
+    x = x.withColumn("section_no", F.sum((~F.col("section").eqNullSafe(F.lag("section").over(o))).cast("int")).over(o)).withColumnRenamed("page_start", "page")
+    return L.build_chunks(x.select("leaflet_key", "seq", "section_no", "section", "kind", "text", "page"), "leaflet_key")
+
+
 sql_query(
     "chunk_index_text",
     r"""SELECT chunk_key, CASE WHEN type = 'figure' AND startswith(element_at(split(content, '\n'), -1), 'figures/') THEN regexp_replace(content, r'\n?[^\n]*\z', '')

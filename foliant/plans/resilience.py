@@ -50,16 +50,35 @@ def loop_hint(spark, d):
     return R.failure_runs(_log(spark, d), "user_id", ["ts", "event_id"], "event_type", "failed").filter("failed AND n >= 2").groupBy("user_id").agg(F.min("run").alias("run"))
 
 
-@query("breaker_fold", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0 AS t, event_type = 'error' AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
- r AS (SELECT user_id, event_id, rn, CASE WHEN f AND 1 >= 2 THEN 'OPEN' ELSE 'CLOSED' END AS state, CASE WHEN f THEN 1 ELSE 0 END AS fails, 0.0::DOUBLE AS opened, true AS admitted FROM e WHERE rn = 1
+def _breaker_sql(probes: int) -> str:
+    reject = "(r.state = 'OPEN' AND e.us - r.opened < 3600000000) OR (r.state = 'HALF_OPEN' AND r.probes <= 0)"
+    half = "(r.state IN ('OPEN', 'HALF_OPEN'))"
+    left = f"CASE WHEN r.state = 'OPEN' THEN {probes} ELSE r.probes END"
+    return f"""WITH RECURSIVE c AS (SELECT *, {_ERR.format(s='(' + _STATUS + ')', x='event_type', m="''")} AS klass FROM events),
+ e AS (SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN event_type <> 'error' THEN 'ok' WHEN klass IN ('SAFE', 'UNKNOWN') THEN 'down' ELSE 'business' END AS o, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM c),
+ r AS (SELECT user_id, event_id, rn, 'CLOSED' AS state, CASE WHEN o = 'down' THEN 1 ELSE 0 END AS fails, 0::BIGINT AS opened, 0 AS probes, true AS admitted FROM e WHERE rn = 1
  UNION ALL SELECT e.user_id, e.event_id, e.rn,
-  CASE WHEN r.state = 'OPEN' AND e.t - r.opened < 3600 THEN 'OPEN' WHEN NOT e.f THEN 'CLOSED' WHEN r.state = 'OPEN' OR r.fails + 1 >= 2 THEN 'OPEN' ELSE r.state END,
-  CASE WHEN r.state = 'OPEN' AND e.t - r.opened < 3600 THEN r.fails WHEN e.f THEN r.fails + 1 ELSE 0 END,
-  CASE WHEN r.state = 'OPEN' AND e.t - r.opened < 3600 THEN r.opened WHEN e.f AND (r.state = 'OPEN' OR r.fails + 1 >= 2) THEN e.t ELSE r.opened END,
-  NOT (r.state = 'OPEN' AND e.t - r.opened < 3600) FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
- SELECT user_id, event_id AS seq, state, admitted FROM r""")
+  CASE WHEN {reject} THEN r.state WHEN e.o = 'ok' THEN 'CLOSED' WHEN e.o = 'business' THEN CASE WHEN {half} THEN 'HALF_OPEN' ELSE r.state END WHEN {half} OR r.fails + 1 >= 2 THEN 'OPEN' ELSE 'CLOSED' END,
+  CASE WHEN {reject} THEN r.fails WHEN e.o = 'ok' THEN 0 WHEN e.o = 'down' AND NOT {half} THEN r.fails + 1 ELSE r.fails END,
+  CASE WHEN {reject} THEN r.opened WHEN e.o = 'down' AND ({half} OR r.fails + 1 >= 2) THEN e.us ELSE r.opened END,
+  CASE WHEN {reject} THEN r.probes WHEN {half} THEN {left} - 1 ELSE 0 END, NOT ({reject})
+ FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1) SELECT user_id, event_id AS seq, state, admitted FROM r"""
+
+
+def _outcomes(spark, d):
+    e = read_table(spark, d, "events")
+    failed = F.col("event_type") == "error"
+    return e.select("user_id", "ts", "event_id", R.outcome(failed, R.error_class(F.expr(_STATUS), F.col("event_type"))).alias("result"))
+
+
+@query("breaker_fold", _breaker_sql(1))
 def breaker_fold(spark, d):
-    return R.breaker(_log(spark, d), "user_id", "ts", "event_id", "failed")
+    return R.breaker(_outcomes(spark, d), "user_id", "ts", "event_id", "result")
+
+
+@query("breaker_fold_probes", _breaker_sql(3))
+def breaker_fold_probes(spark, d):
+    return R.breaker(_outcomes(spark, d), "user_id", "ts", "event_id", "result", probe_max=3)
 
 
 sql_query("ledger", "SELECT user_id, round(coalesce(sum(CASE WHEN event_type = 'purchase' THEN value END), 0.0), 4) AS balance FROM events GROUP BY user_id")
@@ -92,13 +111,36 @@ def request_batches(spark, d):
     return R.gap_batches(_requests(spark, d), KEYS, "arrival_ms", "n_texts", "request_id", 4)
 
 
-@query("request_batches_capped", f"""WITH RECURSIVE {_SESS}, x AS (SELECT request_id, n_texts, batch_no AS session, dense, sparse, colbert, max_length, dense || ':' || sparse || ':' || colbert || ':' || coalesce(max_length, -1) || ':' || batch_no AS k, row_number() OVER (PARTITION BY dense, sparse, colbert, max_length, batch_no ORDER BY arrival_ms, request_id) AS rn FROM b),
- r AS (SELECT x.*, n_texts::BIGINT AS total, 0 AS no FROM x WHERE rn = 1 UNION ALL SELECT x.*, CASE WHEN r.total >= 32 THEN x.n_texts ELSE r.total + x.n_texts END, CASE WHEN r.total >= 32 THEN r.no + 1 ELSE r.no END FROM r JOIN x ON x.k = r.k AND x.rn = r.rn + 1)
- SELECT dense, sparse, colbert, max_length, session, request_id, no AS batch_no FROM r""")
+def _capped_sql(target: int) -> str:
+    return f"""WITH RECURSIVE {_SESS}, x AS (SELECT request_id, coalesce(n_texts, 0)::BIGINT AS n, batch_no AS session, dense, sparse, colbert, max_length, dense || ':' || sparse || ':' || colbert || ':' || coalesce(max_length, -1) || ':' || batch_no AS k, row_number() OVER (PARTITION BY dense, sparse, colbert, max_length, batch_no ORDER BY arrival_ms, request_id) AS rn FROM b),
+ r AS (SELECT x.*, n AS total, 0 AS no, 0::BIGINT AS place FROM x WHERE rn = 1 UNION ALL SELECT x.*, CASE WHEN r.total >= {target} THEN x.n ELSE r.total + x.n END, CASE WHEN r.total >= {target} THEN r.no + 1 ELSE r.no END, CASE WHEN r.total >= {target} THEN 0 ELSE r.total END FROM r JOIN x ON x.k = r.k AND x.rn = r.rn + 1)"""
+
+
+@query("request_batches_capped", f"{_capped_sql(32)} SELECT dense, sparse, colbert, max_length, session, request_id, no AS batch_no, place, n FROM r")
 def request_batches_capped(spark, d):
     return R.capped_batches(_requests(spark, d), KEYS, "arrival_ms", "n_texts", "request_id", 4, 32)
 
 
+@query("request_batches_single", f"{_capped_sql(0)} SELECT dense, sparse, colbert, max_length, session, request_id, no AS batch_no, place, n FROM r")
+def request_batches_single(spark, d):
+    """Target 0: one request per batch."""
+    return R.capped_batches(_requests(spark, d), KEYS, "arrival_ms", "n_texts", "request_id", 4, 0)
+
+
+@query("batch_hand_back", f"""{_capped_sql(32)}, sb AS (SELECT dense, sparse, colbert, max_length, session, no, sum(n) AS total, min(request_id) % 5 <> 0 AS ok FROM r GROUP BY ALL)
+ SELECT r.request_id, sb.ok, CASE WHEN sb.ok THEN r.n END AS got, CASE WHEN sb.ok AND r.n > 0 THEN r.place END AS first, CASE WHEN NOT sb.ok THEN 'RuntimeError: encode' END AS error
+ FROM r JOIN sb ON r.dense IS NOT DISTINCT FROM sb.dense AND r.sparse IS NOT DISTINCT FROM sb.sparse AND r.colbert IS NOT DISTINCT FROM sb.colbert AND r.max_length IS NOT DISTINCT FROM sb.max_length AND r.session = sb.session AND r.no = sb.no""")
+def batch_hand_back(spark, d):
+    """Every batch answers with its texts' places, one in five fails; members get their slices or the batch's error."""
+    members = request_batches_capped(spark, d)
+    batch = [*KEYS, "session", "batch_no"]
+    ok = F.min("request_id") % 5 != 0
+    results = members.groupBy(*batch).agg(ok.alias("ok"), F.sum("n").alias("total")).select(
+        *batch, "ok", F.expr("CASE WHEN ok THEN CASE WHEN total > 0 THEN sequence(0L, total - 1) ELSE cast(array() AS array<bigint>) END END").alias("values"), F.expr("CASE WHEN NOT ok THEN 'RuntimeError: encode' END").alias("error"))
+    back = R.hand_back(members, results, batch, "request_id")
+    return back.select("request_id", "ok", F.when(F.col("ok"), F.size("values").cast("long")).alias("got"), F.expr("CASE WHEN size(values) > 0 THEN values[0] END").alias("first"), "error")
+
+
 sql_query("latency_metrics", "SELECT event_type, count(*) AS total, round(avg(value), 4) AS mean_s, count(CASE WHEN value > 50 THEN 1 END) AS slow FROM events GROUP BY event_type")
 sql_query("prometheus_text",
           r"SELECT array_join(transform(array_sort(collect_list(struct(event_type, n, m))), x -> concat(x.event_type, '_total ', x.n, '\n', x.event_type, '_seconds ', format_string('%.4f', x.m))), '\n') AS body FROM (SELECT event_type, count(*) AS n, round(avg(value), 4) AS m FROM events GROUP BY event_type)",

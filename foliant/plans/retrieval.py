@@ -47,7 +47,7 @@ def tfidf_idf(spark, d):
 def tfidf_vectors(spark, d):
     docs = read_table(spark, d, "documents")
     tf = _tf(spark, d)
-    return R.normalised(tf, R.idf(R.document_frequency(tf), docs.count()), "doc_id").select("doc_id", "term", F.round("w", 6).alias("w"))
+    return R.normalised(tf, R.term_weights(tf, docs.count()), "doc_id").select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
 def _search_sql(docs: str, key: str, k: int, least: float, prefix: str) -> str:

@@ -132,18 +132,50 @@ def test_kinds(spark, text, kind):
     assert spark.range(1).select(layout.element_kind(F.lit(text)).alias("k")).first().k == kind
 
 
-def test_breaker(spark):
-    t0 = dt.datetime(2024, 1, 1)
-    rows = [(1, i, t0 + dt.timedelta(seconds=s), f) for i, (s, f) in enumerate([(0, True), (1, True), (2, False), (4000, True), (4001, False), (9000, False)])]
-    df = spark.createDataFrame(rows, "tool int, id int, ts timestamp, failed boolean")
-    got = [(r.state, r.admitted) for r in resilience.breaker(df, "tool", "ts", "id", "failed").orderBy("seq").collect()]
-    assert got == [("CLOSED", True), ("OPEN", True), ("OPEN", False), ("OPEN", True), ("OPEN", False), ("CLOSED", True)]
+def breaker_one_by_one(calls, threshold, cool, probe_max):
+    state, fails, opened, probes, out = "CLOSED", 0, 0, 0, []
+    for t, r in calls:
+        if state == "OPEN" and t - opened >= cool:
+            state, probes = "HALF_OPEN", probe_max
+        if state == "OPEN" or (state == "HALF_OPEN" and probes == 0):
+            out.append((state, False))
+            continue
+        if state == "HALF_OPEN":
+            probes -= 1
+        if r == "ok":
+            state, fails = "CLOSED", 0
+        elif r == "down" and state == "HALF_OPEN":
+            state, opened = "OPEN", t
+        elif r == "down":
+            fails += 1
+            if fails >= threshold:
+                state, opened = "OPEN", t
+        out.append((state, True))
+    return out
+
+
+@pytest.mark.parametrize("probe_max", [1, 2])
+def test_breaker(spark, probe_max):
+    rng, t0 = random.Random(4), dt.datetime(2024, 1, 1)
+    fixed = [(0, "down"), (1, "down"), (2, "ok"), (4000, "down"), (4001, "ok"), (9000, "ok"), (9001, "down"), (9002, "business"), (9003, "down"), (20000, "business"), (20001, "ok"), (90000, "ok")]
+    tools = {0: fixed} | {k: sorted((rng.randrange(60_000), rng.choice(["ok", "ok", "ok", "down", "down", "business"])) for _ in range(120)) for k in range(1, 25)}
+    tools |= {k: sorted((rng.randrange(3_000_000), rng.choice(["ok", "ok", "down"])) for _ in range(120)) for k in range(25, 40)}
+    rows = [(k, i, t0 + dt.timedelta(seconds=t), r) for k, v in tools.items() for i, (t, r) in enumerate(v)]
+    df = spark.createDataFrame(rows, "tool int, id int, ts timestamp, result string")
+    got = {}
+    for r in resilience.breaker(df, "tool", "ts", "id", "result", probe_max=probe_max).orderBy("tool", "seq").collect():
+        got.setdefault(r.tool, []).append((r.state, r.admitted))
+    assert got == {k: breaker_one_by_one(v, 2, 3600, probe_max) for k, v in tools.items()}
+    assert {s for v in got.values() for s, _ in v} == {"CLOSED", "OPEN", "HALF_OPEN"}
+    assert resilience.breaker(df.limit(0), "tool", "ts", "id", "result").count() == 0
 
 
 def test_batcher_target(spark):
     df = spark.createDataFrame([("k", i, a, n) for i, (a, n) in enumerate([(0, 20), (1, 20), (2, 5), (100, 100), (101, 1)])], "k string, id int, a long, n int")
     got = {r.id: (r.session, r.batch_no) for r in resilience.capped_batches(df, ["k"], "a", "n", "id", 4, 32).collect()}
     assert got == {0: (1, 0), 1: (1, 0), 2: (1, 1), 3: (2, 0), 4: (2, 1)}
+    alone = {r.id: (r.session, r.batch_no) for r in resilience.capped_batches(df, ["k"], "a", "n", "id", 4, 0).collect()}
+    assert alone == {0: (1, 0), 1: (1, 1), 2: (1, 2), 3: (2, 0), 4: (2, 1)}
 
 
 def test_batch_call_isolates(spark):
@@ -158,6 +190,69 @@ def test_batch_call_isolates(spark):
     assert got == {0: (True, "A.PNG", None), 1: (False, None, "ValueError: cannot read image"), 2: (True, "C.PNG", None)}
 
 
+def test_calls():
+    import time
+
+    from foliant.operators.calls import Policy, call, failure_class
+
+    class NetworkError(Exception):
+        pass
+
+    slept = []
+
+    def failing(*errors):
+        left = list(errors)
+
+        def f():
+            if left:
+                raise left.pop(0)
+            return 7
+
+        return f
+
+    r = call(failing(ConnectionError("a"), TimeoutError("b")), sleep=slept.append)
+    assert (r.ok, r.data, r.attempts, slept) == (True, 7, 3, [1.0, 2.0])
+    r = call(failing(*[NetworkError("x")] * 9), policy=Policy(idempotent=False), sleep=slept.append)
+    assert (r.ok, r.attempts, r.blocked, r.waited_s) == (False, 4, False, 3.0) and "called 4 times" in r.error
+    r = call(failing(ConnectionResetError()), policy=Policy(idempotent=False), sleep=slept.append)
+    assert (r.attempts, r.blocked, r.klass) == (1, True, "UNKNOWN")
+    r = call(failing(ConnectionError(), TimeoutError()), policy=Policy(idempotent=False), sleep=slept.append)
+    assert (r.attempts, r.blocked, r.klass) == (2, False, "UNKNOWN")
+    r = call(failing(ValueError("no")), sleep=slept.append)
+    assert (r.ok, r.attempts, r.klass, r.error) == (False, 1, "NO", "ValueError: no")
+    r = call(time.sleep, 5, policy=Policy(attempts=2, base_s=0.0, timeout_s=0.05))
+    assert (r.ok, r.attempts, r.klass) == (False, 2, "UNKNOWN")
+    assert [failure_class(e) for e in (NetworkError(), OSError("timed out"), KeyError())] == ["SAFE", "UNKNOWN", "NO"]
+
+
+def test_batch_call_retries_what_passes(spark):
+    calls = spark.createDataFrame([(i, f"{i}.png") for i in range(5)], "id int, path string").coalesce(1)
+    seen = []
+
+    def model(v):
+        seen.append(len(v))
+        if len(seen) < 3:
+            raise ConnectionError("down")
+        return [x.upper() for x in v]
+
+    got = models.batch_call(calls, "id", "path", model, policy=models.Policy(attempts=3, base_s=0.0)).collect()
+    assert all(r.ok and r.data == f"{r.id}.PNG" for r in got) and len(got) == 5
+
+
+def test_build_chunks(spark):
+    rows = [(1, i, s, k, k2, "x" * n, p) for i, (s, k, k2, n, p) in enumerate([
+        (1, "A", "subheading", 10, 1), (1, "A", "paragraph", 580, 1), (1, "A", "paragraph", 20, 2), (1, "A", "table", 700, 2), (1, "A", "paragraph", 5, 3), (1, "A", "subheading", 8, 3), (1, "A", "paragraph", 9, 4),
+        (2, "B", "paragraph", 5, 4), (2, "B", "figure", 3, 5), (2, "B", "table", 3, 5), (2, "B", "paragraph", 900, 6),
+    ])]
+    df = spark.createDataFrame(rows, "doc int, seq int, section_no int, section string, kind string, text string, page int").withColumn("island", F.lit("clash"))
+    got = [(r.id, r.type, r.section, r.sub_section and len(r.sub_section), r.char_len, r.page_start, r.page_end, r.block_id) for r in layout.build_chunks(df, "doc").orderBy("id").collect()]
+    assert got == [
+        ("c001", "text", "A", 10, 591, 1, 1, None), ("c002", "text", "A", 10, 20, 2, 2, None), ("c003", "table", "A", 10, 700, 2, 2, "table-01"), ("c004", "text", "A", 10, 5, 3, 3, None), ("c005", "text", "A", 8, 18, 3, 4, None),
+        ("c006", "text", "B", None, 5, 4, 4, None), ("c007", "figure", "B", None, 3, 5, 5, "figure-01"), ("c008", "table", "B", None, 3, 5, 5, "table-02"), ("c009", "text", "B", None, 900, 6, 6, None),
+    ]
+    assert layout.build_chunks(df.limit(0), "doc").count() == 0
+
+
 def test_overlap(spark):
     from foliant.plans.joins import bbox_overlap_antijoin
 
@@ -219,7 +314,7 @@ def test_registry(spark):
     got = {r.id: (r.code, r.result) for r in reg.calls(calls, "id", "name", "args").collect()}
     assert got == {1: (None, "2.0"), 2: ("INVALID_JSON", None), 3: ("UNKNOWN_TOOL", None), 4: ("VALIDATION_ERROR", None), 5: ("EXECUTION_ERROR", None), 6: ("BLOCKED_WRITE", None), 7: ("VALIDATION_ERROR", None)}
     assert reg.catalogue(spark).count() == 2
-    assert attempts_allowed(["SAFE"] * 9, True) == (3, False, 3.0) and attempts_allowed(["SAFE"] * 9, False) == (4, False, 7.0)
+    assert attempts_allowed(["SAFE"] * 9, True) == (3, False, 3.0) and attempts_allowed(["SAFE"] * 9, False) == (4, False, 3.0)
     assert attempts_allowed(["UNKNOWN"], False) == (1, True, 0.0) and attempts_allowed(["NO"], True) == (1, False, 0.0) and attempts_allowed(["SAFE", None], True) == (2, False, 1.0)
     log = reflect_loop("t", lambda t, f: f + "x", lambda t, a: (len(a) >= 3, a + "!"))
     assert [x[2] for x in log] == [False, True]
