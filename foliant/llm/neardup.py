@@ -1,14 +1,22 @@
 """Groups of near-duplicate texts by set similarity of character substrings (problem 4).
 
-A text is the set of its substrings of ``width`` characters. Candidates come from token
-combinations: under each of several random orders of all tokens, the prefix of length one of each
-of ``bands`` hash classes is taken, and the tokens of one class under all orders form one
-combination of that many tokens, which is indexed. Two texts of similarity s share a combination
-with probability 1 - (1 - s^orders)^bands. Low bits of each combination sketch the rest of the text, so
-most chance meetings end before any text is moved; at s = 0.8 a pair of texts with ``LEAST_TOKENS`` or more
-different tokens is lost with 1e-6 if classes are independent. Texts with fewer leave classes empty, which
-then repeat each other: they are indexed by prefixes of their sorted tokens as well, which loses no pair.
-Every candidate is verified on the whole sets. (README: why frequency-ordered prefixes do not work on these texts.)
+A text is the set of its substrings of ``width`` characters. Two ways to candidates are built; every
+candidate is verified on the whole sets.
+
+``minhash`` (what the queries use; README: why, with measured figures): one-permutation MinHash with
+banding. Under each of several random orders of all tokens the least token of each of ``bands`` hash
+classes is taken, and the tokens of one class under all orders form one combination, which is indexed.
+Two texts of similarity s share one with probability 1 - (1 - s^orders)^bands. Low bits of each
+combination sketch the rest of the text, so most chance meetings end before any text is moved; at s =
+0.8 a pair of texts with ``LEAST_TOKENS`` or more different tokens is lost with 1e-6 if classes are
+independent. Texts with fewer leave classes empty, which then repeat each other: they are indexed by
+prefixes of their sorted tokens as well, which loses no pair.
+
+``prefix`` (the named method, exact): tokens are ordered by frequency (counts of 2^22 hash buckets over
+all texts; any order that is the same everywhere is right). Rare tokens are single signatures; frequent
+ones fall into hash groups, in which every combination of ``k`` tokens is a signature. A text's prefix
+is extended until destroying all its signatures takes more differing tokens than the threshold allows,
+so two texts at or over the threshold share a signature.
 
 Copies are one text: they are brought together per partition before the shuffle and by digest after
 it; classes and links are computed between different texts only, members come back by a join.
@@ -18,6 +26,7 @@ further copies; ties do not arise, the test is similarity >= threshold on exact
 """
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +39,7 @@ from foliant.session import cut, read_table, shuffle_width
 WIDTH = 4
 THRESHOLD = 0.8
 LEAST_CHARS = 200
-# Tokens of a combination and combinations of a text by number of texts: false candidates stay few as texts grow.
-SHAPES = ((500_000, 6, 48), (10_000_000, 7, 60), (1 << 62, 8, 75))
+ORDERS, BANDS = 7, 56  # tokens of a combination, combinations of a text: the same at every size
 BITS = 28  # of a combination's 64 bits are a sketch of the rest of the text
 AGREE = 23  # of them must agree; a pair at 0.8 passes with 0.95 in each of the combinations it shares
 LEAST_TOKENS = 100  # pairs with a text of fewer different tokens are found by prefixes
@@ -76,7 +84,7 @@ def prefixes(texts: list[str], width: int = WIDTH, threshold: float = THRESHOLD)
     return np.concatenate(sigs), np.concatenate(of)
 
 
-def combinations(texts: list[str], width: int = WIDTH, orders: int = SHAPES[0][1], bands: int = SHAPES[0][2]) -> np.ndarray:
+def combinations(texts: list[str], width: int = WIDTH, orders: int = ORDERS, bands: int = BANDS) -> np.ndarray:
     """uint64[len(texts), bands]: hashed token combinations (upper bits) with BITS low bits, each the
     parity of a least token of another class; texts have >= width characters."""
     h, doc = hashed_tokens(texts, width)
@@ -113,6 +121,92 @@ def combinations(texts: list[str], width: int = WIDTH, orders: int = SHAPES[0][1
     return (out >> np.uint64(BITS) << np.uint64(BITS)) | sketch
 
 
+BUCKETS = 1 << 22  # of token counts
+RARE = 64  # a token in so many texts at most is a signature of its own
+K, GROUP = 3, 3.0  # tokens of a combination of frequent tokens, and how many of a text's a hash group holds on average
+
+
+def token_frequency(part: DataFrame, width: int) -> np.ndarray:
+    """Texts that hold a token of each hash bucket, over all different texts: BUCKETS numbers, whatever the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            h, doc = hashed_tokens(texts, width)
+            n += np.bincount(np.unique((doc.astype(np.uint64) << np.uint64(22)) | (h & np.uint64(BUCKETS - 1))) & np.uint64(BUCKETS - 1), minlength=BUCKETS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at])], names=["bucket", "n"])
+
+    t = part.select("text").distinct().mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int32)
+    out[t.column("bucket").to_numpy()] = np.minimum(t.column("n").to_numpy(), 2**31 - 1)
+    return out
+
+
+def class_prefixes(texts: list[str], frequency: np.ndarray, width: int = WIDTH, threshold: float = THRESHOLD, k: int = K, group: float = GROUP, rare: int = RARE) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, text of each): rare tokens of the prefix, and k-combinations within hash groups of frequent ones.
+    Texts of a few tokens are left to ``prefixes``."""
+    h, doc = hashed_tokens(texts, width)
+    at = np.searchsorted(doc, np.arange(len(texts) + 1))
+    sigs, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i in range(len(texts)):
+        t = np.unique(h[at[i] : at[i + 1]])
+        n = len(t)
+        if n < 4 * k:
+            continue
+        f = frequency[(t & np.uint64(BUCKETS - 1)).astype(np.int64)]
+        o = np.lexsort((t, f))
+        t, f = t[o], f[o]
+        spare = n - int(np.ceil(threshold * n - 1e-9)) + 1  # differing tokens that the signatures must outlast
+        few = int(np.searchsorted(f, rare, side="right"))
+        if few >= spare:
+            single, frequent = t[:spare], t[:0]
+        else:
+            single, frequent = t[:few], t[few:]
+        out = [single]
+        if len(frequent):
+            need = spare - few
+            size = 1 << max(0, int(np.log2(max(n, 1))))  # texts that can be alike have sizes in this or the next class
+            for c in (size, 2 * size) if threshold < 1 else (size,):
+                # never so many groups that a text of this class (c / 2 tokens or more) could not outlast the threshold
+                groups = max(1, min(int(c * (1 - threshold) * 1.2 / group), int((threshold * c / 2 - 1) / max(k - 1, 1))))
+                mix = frequent * _MIX[2, 0]
+                g = ((mix ^ (mix >> np.uint64(29))) >> np.uint64(20)) % np.uint64(groups)
+                held: dict[int, list[int]] = {}
+                lasts = 0
+                for x, tok in zip(g.tolist(), frequent.tolist()):
+                    v = held.setdefault(x, [])
+                    v.append(tok)
+                    lasts += len(v) >= k
+                    if lasts >= need:
+                        break
+                combos = [cmb for v in held.values() for cmb in itertools.combinations(sorted(v), k)]
+                u = np.array(combos, np.uint64).reshape(-1, k)
+                s = np.full(len(u), c, np.uint64)
+                for j in range(k):
+                    s = (s ^ u[:, j]) * _MIX[3 + j, 0]
+                    s ^= s >> np.uint64(31)
+                out.append(s)
+        sig = np.concatenate(out)
+        u = sig * _MIX[1, 3]
+        sigs.append((u ^ (u >> np.uint64(32))) >> np.uint64(BITS) << np.uint64(BITS))  # no sketch: all entries agree
+        of.append(np.full(len(sig), i))
+    return np.concatenate(sigs), np.concatenate(of)
+
+
+def _index_prefixes(batches: Iterator[pa.RecordBatch], width: int, threshold: float, frequency: np.ndarray) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
+    for b in batches:
+        digest = b.column(0).to_pylist()
+        new = [i for i, d in enumerate(digest) if not (d in seen or seen.add(d))]
+        if new:
+            texts = b.column(1).take(pa.array(new)).to_pylist()
+            (sig, of), (few, of_few) = class_prefixes(texts, frequency, width, threshold), prefixes(texts, width, threshold)
+            ids = np.array([digest[i] for i in new], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[sig, few].view(np.int64)), pa.array(ids[np.r_[of, of_few]])], names=["sig", "digest"])
+
+
 def _index(batches: Iterator[pa.RecordBatch], width: int, orders: int, bands: int, threshold: float) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for b in batches:
@@ -158,16 +252,18 @@ def jaccard(x: str, y: str, width: int = WIDTH) -> float:
     return both / (len(p) + len(q) - both) if p or q else 0.0
 
 
-def similar_texts(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least_chars: int = LEAST_CHARS, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+def similar_texts(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least_chars: int = LEAST_CHARS, width: int = WIDTH, method: str = "minhash") -> tuple[DataFrame, DataFrame]:
     """(members, links): members (digest, key) of every text that takes part, links (a, b, similarity) between different texts."""
     spark = df.sparkSession
     part = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).filter(F.length("text") >= max(least_chars, width)).withColumn("digest", F.xxhash64("text"))
     n = shuffle_width(spark)
-    total = df.count()
-    orders, bands = next((o, b) for most, o, b in SHAPES if total <= most)
+    if method == "prefix":
+        shared = spark.sparkContext.broadcast(token_frequency(part, width))  # BUCKETS numbers
+        index = part.select("digest", "text").mapInArrow(lambda it: _index_prefixes(it, width, threshold, shared.value), "sig long, digest long")
+    else:
+        index = part.select("digest", "text").mapInArrow(lambda it: _index(it, width, ORDERS, BANDS, threshold), "sig long, digest long")
     candidates = (
-        part.select("digest", "text").mapInArrow(lambda it: _index(it, width, orders, bands, threshold), "sig long, digest long")
-        .repartition(n, F.shiftright("sig", BITS)).mapInArrow(_pairs_of_equal, "a long, b long").distinct()
+        index.repartition(n, F.shiftright("sig", BITS)).mapInArrow(_pairs_of_equal, "a long, b long").distinct()
     )
     texts = part.groupBy("digest").agg(F.first("text").alias("text"))
 

@@ -176,7 +176,8 @@ def test_splitting(spark):
 
 
 # ---- 4 -------------------------------------------------------------------------------------------
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("method", ["minhash", "prefix"])
+def test_near_duplicates(spark, method):
     rng = random.Random(5)
     base = ["".join(rng.choice("abcdefghijklmnop 药品说明书") for _ in range(400)) for _ in range(30)]
     rows = []
@@ -189,7 +190,7 @@ def test_near_duplicates(spark):
             rows.append((10 * i + j, "".join(t)))
     rows += [(9000, None), (9001, "short"), (9002, "a" * 300), (9003, "a" * 300), (9004, "")]
     df = spark.createDataFrame(rows, "chunk_key long, content string").withColumn("digest", F.lit(1)).withColumn("key", F.lit(2))
-    members, links = neardup.similar_texts(df, "chunk_key", "content")
+    members, links = neardup.similar_texts(df, "chunk_key", "content", method=method)
     text = dict(rows)
     digest = {r.key: r.digest for r in members.collect()}
     got = {(r.a, r.b) for r in links.collect()}
@@ -198,6 +199,27 @@ def test_near_duplicates(spark):
     assert got == want and digest[9002] == digest[9003] and 9001 not in digest
 
 
+@pytest.mark.parametrize("rare", [0, 2, 1000])
+def test_class_prefixes_lose_no_pair(rare):
+    rng = random.Random(1)
+    texts = []
+    for _ in range(25):
+        b = "".join(rng.choice("abcdefghijklm 药品说明书") for _ in range(rng.randint(220, 560)))
+        texts.append(b)
+        for e in (2, 5, 9, 12):
+            t = list(b)
+            for _ in range(e):
+                t[rng.randrange(len(t))] = rng.choice("xyz")
+            texts.append("".join(t) + "qwertz" * rng.randint(0, 6))
+    frequency = np.zeros(neardup.BUCKETS, np.int32)
+    for t in texts:
+        frequency[(np.unique(neardup.hashed_tokens([t])[0]) & np.uint64(neardup.BUCKETS - 1)).astype(int)] += 1
+    sig, of = neardup.class_prefixes(texts, frequency, rare=rare)
+    held = [set(sig[of == i].tolist()) for i in range(len(texts))]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if neardup.jaccard(texts[i], texts[j]) >= 0.8]
+    assert len(alike) > 50 and all(held[i] & held[j] for i, j in alike)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (3, 4), (4, 5), (5, 6)], "a long, b long")
     assert {r.node: r.class_id for r in neardup.components(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 7, 8: 7}
