@@ -76,6 +76,26 @@ def build_chunks(el: DataFrame, key: str, limit: int = CHUNK_LIMIT) -> DataFrame
     )
 
 
+HEADING = r"^(#{1,6})\s+(.*)$"
+
+
+def markdown_chunks(docs: DataFrame, key: str, text: str, limit: int = CHUNK_LIMIT) -> DataFrame:
+    """(key, id, section, content, char_len) of Markdown texts: a heading line ends the chunk and names the section from there
+    on; a line is taken first and the chunk ends behind it once it holds more than ``limit`` characters; chunks without
+    text are dropped, outer white space goes. Null texts give none."""
+    w = W.partitionBy(key).orderBy("seq")
+    head = F.col("t").rlike(HEADING)
+    x = (
+        docs.select(F.col(key), F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("seq", "text")).withColumn("t", strip(F.col("text")))
+        .withColumn("island", F.sum(head.cast("int")).over(w))
+        .withColumn("section", F.coalesce(F.last(F.when(head, strip(F.regexp_extract("t", HEADING, 2))), True).over(w), F.lit(PREAMBLE)))
+    )
+    packed = pack(x.filter(~head).select(key, "island", "section", "seq", "text"), [key, "island", "section"], limit, over=True)
+    body = strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda v: v["text"]), "\n"))
+    g = packed.groupBy(key, "island", "section", "chunk_no").agg(body.alias("content"), F.min("seq").alias("seq")).filter("content <> ''")
+    return g.select(key, F.format_string("c%03d", F.row_number().over(w)).alias("id"), "section", "content", F.length("content").alias("char_len"))
+
+
 def fill_sections(el: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds section_id, section and sub_section: each line belongs to the last heading, sub-headings end with their section."""
     w = W.partitionBy(key).orderBy("seq")

@@ -109,6 +109,28 @@ def build_chunks(spark, d):
     return L.build_chunks(x.select("leaflet_key", "seq", "section_no", "section", "kind", "text", "page"), "leaflet_key")
 
 
+# Leaflets written as Markdown: each chunk's section as a heading, then its content.
+_MD = "SELECT leaflet_key, {agg} AS md FROM chunks WHERE content IS NOT NULL GROUP BY leaflet_key"
+
+
+@query("markdown_chunks", rf"""WITH RECURSIVE m AS ({_MD.format(agg="string_agg('## ' || coalesce(section, '') || chr(10) || content, chr(10) || chr(10) ORDER BY page_start, chunk_key)")}),
+ l0 AS (SELECT leaflet_key, unnest(string_split_regex(md, '
+||
+')) AS text, unnest(range(len(string_split_regex(md, '
+||
+')))) AS seq FROM m),
+ l AS (SELECT *, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS t, row_number() OVER (PARTITION BY leaflet_key ORDER BY seq) AS rn FROM l0),
+ h AS (SELECT *, regexp_matches(t, '^#{{1,6}}\s+.*$') AS head FROM l),
+ r AS (SELECT leaflet_key, rn, text, head, CASE WHEN head THEN regexp_replace(regexp_extract(t, '^(#{{1,6}})\s+(.*)$', 2), '^{WS}+|{WS}+$', '', 'g') ELSE '文档头' END AS section, CASE WHEN head THEN 0 ELSE length(text) END AS len, CASE WHEN head THEN 0 ELSE 1 END AS no FROM h WHERE rn = 1
+  UNION ALL SELECT h.leaflet_key, h.rn, h.text, h.head, CASE WHEN h.head THEN regexp_replace(regexp_extract(h.t, '^(#{{1,6}})\s+(.*)$', 2), '^{WS}+|{WS}+$', '', 'g') ELSE r.section END,
+   CASE WHEN h.head THEN 0 WHEN r.len > 600 THEN length(h.text) ELSE r.len + length(h.text) END, CASE WHEN h.head THEN r.no WHEN r.head OR r.len > 600 OR r.no = 0 THEN r.no + 1 ELSE r.no END FROM r JOIN h ON h.leaflet_key = r.leaflet_key AND h.rn = r.rn + 1),
+ g AS (SELECT leaflet_key, no, min(section) AS section, regexp_replace(string_agg(text, chr(10) ORDER BY rn), '^{WS}+|{WS}+$', '', 'g') AS content FROM r WHERE NOT head GROUP BY leaflet_key, no)
+ SELECT leaflet_key, 'c' || lpad(CAST(row_number() OVER (PARTITION BY leaflet_key ORDER BY no) AS VARCHAR), 3, '0') AS id, section, content, length(content) AS char_len FROM g WHERE content <> ''""")
+def markdown_chunks(spark, d):
+    md = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_start", "chunk_key", F.concat(F.lit("## "), F.coalesce("section", F.lit("")), F.lit("\n"), "content").alias("c")))), lambda x: x["c"]), "\n\n")
+    return L.markdown_chunks(read_table(spark, d, "chunks").filter("content IS NOT NULL").groupBy("leaflet_key").agg(md.alias("md")), "leaflet_key", "md")
+
+
 sql_query(
     "chunk_index_text",
     r"""SELECT chunk_key, CASE WHEN type = 'figure' AND startswith(element_at(split(content, '\n'), -1), 'figures/') THEN regexp_replace(content, r'\n?[^\n]*\z', '')
